@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +64,17 @@ def local_path(uri: str) -> str:
     """file:// address to path; only file systems mounted on every executor can be opened by path."""
     path = uri.removeprefix("file:")
     return "/" + path.lstrip("/") if uri.startswith("file:") else os.path.abspath(uri)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_chronofind_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="chronofind-ship-")) / "chronofind.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._chronofind_shipped = True
