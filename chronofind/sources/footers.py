@@ -130,7 +130,8 @@ def schema_bytes(footer: Struct) -> bytes:
 def _span(chunk: Struct) -> tuple[int, int]:
     meta = chunk[_CHUNK_META][1]
     starts = [meta[f][1] for f in (_COLUMN_DATA, _COLUMN_INDEX, _COLUMN_DICT) if f in meta and meta[f][1] > 0]
-    return min(starts), meta[_COLUMN_SIZE][1]
+    # A chunk without pages has no place of its own.
+    return min(starts, default=4), meta[_COLUMN_SIZE][1]
 
 
 def _moved(chunk: Struct, by: int) -> Struct:
@@ -235,6 +236,9 @@ def _spliced(content: bytes, at: int, put: int, ordinal: int) -> tuple[bytes, by
                         size = _number(content, w)
                     elif f in (_COLUMN_DATA, _COLUMN_INDEX, _COLUMN_DICT) and (v := _number(content, w)) > 0:
                         starts.append((v, w))
+                if not starts and size == 0:
+                    chunk_at = next_at
+                    continue  # a chunk without pages
                 start = min(starts)[0]
                 if start < 4 or start + size > len(content) - 8:
                     raise SegmentError("a column chunk lies outside of its file")
@@ -313,7 +317,7 @@ def join_files(contents: list[bytes]) -> Joined:
                 group, data, count, at = _spliced(content, at, put, len(groups) + len(added))
                 added.append((group, data, count))
                 put += len(data)
-        except (KeyError, IndexError):
+        except (KeyError, IndexError, ValueError):
             footer = read_footer(content)
             if schema_bytes(footer) != wanted:
                 raise SegmentError("schemas differ") from None

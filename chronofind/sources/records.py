@@ -7,7 +7,7 @@ import io
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +28,9 @@ DECODED = T.StructType([
     T.StructField("error", T.StringType()),
 ])
 
+_ARROW = pa.schema([
+    ("path", pa.string()), ("seq", pa.int64()), ("series_id", pa.int64()), ("metric", pa.string()), ("tags", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
+
 
 def _text(buf: bytes, at: int) -> tuple[str, int]:
     if at >= len(buf):
@@ -92,23 +95,22 @@ def _rows(path: str, content: bytes) -> Iterator[tuple]:
         yield path, seq + 1, None, None, None, str(e)
 
 
-def _decode_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [f.name for f in DECODED]
+def _decode_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
+        for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
             held: list[tuple] = []
-            for row in _rows(path, content):
+            for row in _rows(path, content.as_py()):
                 held.append(row)
                 if len(held) == 50_000:
-                    yield _frame(held, names)
+                    yield _batch(held)
                     held = []
-            yield _frame(held, names)
+            yield _batch(held)
 
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    out["series_id"] = out["series_id"].astype("Int64")
-    return out
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_ARROW)
+    tags = [None if t is None else list(t.items()) for t in columns[4]]
+    return pa.RecordBatch.from_arrays([pa.array(tags if f.name == "tags" else c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
 def read_objects(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -119,7 +121,7 @@ def read_objects(spark: SparkSession, path: str, streaming: bool = False) -> Dat
     """
     reader = spark.readStream if streaming else spark.read
     files = reader.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(_decode_files, DECODED)
+    return files.select("path", "content").mapInArrow(_decode_files, DECODED)
 
 
 def valid_records(decoded: DataFrame, batch_depth: int = 2) -> DataFrame:
