@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofind.functions.timing import segment_in_range
@@ -15,19 +15,26 @@ SEGMENT = ["shard", "segment"]
 
 @dataclass(frozen=True)
 class Catalog:
-    """series: model.SERIES; manifest: model.MANIFEST. Extra columns are ignored.
+    """series: model.SERIES; manifest: model.MANIFEST. Extra columns are ignored, but for metric_key in
+    series, which lets metric filters reach the scan.
 
     A null duration counts as 0, a null committed as false. Rows of series without a manifest row are
-    invisible.
+    invisible. key_table: shard, segment, tag_key of every key that occurs, where a store keeps it; without
+    it the keys are derived from the series.
     """
 
     series: DataFrame
     manifest: DataFrame
+    key_table: DataFrame | None = None
 
     @cached_property
     def rows(self) -> DataFrame:
         return self.series.select(*SEGMENT, "series_id", "metric", "tags", "epochs")
 
+    @cached_property
+    def prunable(self) -> bool:
+        return "metric_key" in self.series.columns
+
     @cached_property
     def visible(self) -> DataFrame:
         """Committed segments: shard, segment, duration."""
@@ -37,14 +44,29 @@ class Catalog:
     def segments_in(self, start: int, end: int) -> DataFrame:
         return self.visible.where(segment_in_range(F.col("segment"), F.col("duration"), start, end)).select(*SEGMENT)
 
-    def scan(self, segments: DataFrame, end: int | None = None) -> DataFrame:
-        """Series of the given segments. The literal bound prunes partitions before the semi-join does."""
-        rows = self.rows if end is None else self.rows.where(F.col("segment") <= end)
+    def scan(self, segments: DataFrame, end: int | None = None, only: Column | None = None) -> DataFrame:
+        """Series of the given segments. The literal bound prunes partitions before the semi-join does, and
+        `only` (on metric_key) row groups."""
+        rows = self.series if only is None else self.series.where(only)
+        rows = rows.select(self.rows.columns)
+        rows = rows if end is None else rows.where(F.col("segment") <= end)
         return rows.join(segments, SEGMENT, "left_semi")
 
-    def keys(self, rows: DataFrame) -> DataFrame:
-        """Distinct tag keys by segment: shard, segment, tag_key."""
-        return rows.select(*SEGMENT, F.explode(F.map_keys("tags")).alias("tag_key")).distinct()
+    def keys(self, segments: DataFrame, end: int) -> DataFrame:
+        """Distinct tag keys of the given segments: shard, segment, tag_key."""
+        if self.key_table is not None:
+            return self.key_table.select(*SEGMENT, "tag_key").where(F.col("segment") <= end).join(segments, SEGMENT, "left_semi")
+        return tag_keys(self.scan(segments, end))
+
+    @cached_property
+    def shards(self) -> DataFrame:
+        """shard: every shard with a visible segment."""
+        return self.visible.select("shard").distinct()
+
+
+def tag_keys(rows: DataFrame) -> DataFrame:
+    """Distinct tag keys by segment."""
+    return rows.select(*SEGMENT, F.explode(F.map_keys("tags")).alias("tag_key")).distinct()
 
 
 def with_all_keys(keys: DataFrame, segments: DataFrame, required: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from chronofind.functions.timing import alive
 from chronofind.model import NO_DATA
 from chronofind.operators.catalog import SEGMENT, Catalog, with_all_keys
 from chronofind.plans.filters import always_fails, required_keys, root_column
+from chronofind.plans.pruning import prefix_filter
 from chronofind.plans.request import Request
 
 
@@ -25,11 +26,12 @@ def matching_rows(catalog: Catalog, request: Request, compat: bool = True) -> Da
     null metric, tags or epochs match nothing that looks at them; series without epochs are never alive.
     """
     segments = catalog.segments_in(request.start, request.end)
-    rows = catalog.scan(segments, request.end)
+    only = prefix_filter(F.col("metric_key"), request.filter) if catalog.prunable else None
+    rows = catalog.scan(segments, request.end, only)
     if always_fails(request.filter):
         return rows.where(F.lit(False))
     if compat and (needed := required_keys(request.filter)):
-        complete = with_all_keys(catalog.keys(rows), segments, needed)
+        complete = with_all_keys(catalog.keys(segments, request.end), segments, needed)
         rows = rows.join(complete, SEGMENT, "left_semi")
     hit = root_column(request.filter, F.col("metric"), F.col("tags"))
     return rows.where(hit & alive(F.col("epochs"), request.start, request.end))
@@ -38,8 +40,7 @@ def matching_rows(catalog: Catalog, request: Request, compat: bool = True) -> Da
 def _group_keys(catalog: Catalog, request: Request) -> DataFrame:
     """shard, segment, group_keys: the segment's tag keys that the group names resolve to, in order of
     the names, then of the keys."""
-    rows = catalog.scan(catalog.segments_in(request.start, request.end), request.end)
-    keys = catalog.keys(rows)
+    keys = catalog.keys(catalog.segments_in(request.start, request.end), request.end)
     at = F.array_compact(F.array(*[
         F.when(F.col("tag_key").rlike(literal_pattern(name)), F.struct(F.lit(i).alias("i"), F.col("tag_key").alias("k")))
         for i, name in enumerate(request.group)

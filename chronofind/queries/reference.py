@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofind.fixtures import FULL, SHARDS, event_catalog, event_records
+from chronofind.functions.routing import assigned
 from chronofind.functions.timing import epoch_bucket, floor_to
 from chronofind.operators import compaction, discovery, ingest, setops, timeseries
 from chronofind.operators.catalog import Catalog
@@ -194,6 +195,8 @@ for _name, _op, _where in (
 
 _add("shard_route", lambda spark, d: ingest.route(event_records(spark, d), SHARDS).groupBy("shard").agg(F.count(F.lit(1)).alias("n")),
      f"{_BASE} SELECT CAST(abs(series_id % 10) AS INTEGER) AS shard, count(*) AS n FROM r GROUP BY 1")
+_add("shard_assignment", _catalog_query(lambda c: c.shards.where(assigned(F.col("shard"), 5, 1))),
+     f"{_BASE} SELECT DISTINCT shard FROM se WHERE shard % 5 = 1")
 _add("ingest_dedup", lambda spark, d: ingest.build_segments(event_records(spark, d), SHARDS, FULL).groupBy("shard", "segment").agg(
     F.count(F.lit(1)).alias("n_series"), F.sum(F.size("epochs")).alias("n_epochs"), F.min("metric").alias("min_metric"), F.sum(F.size("tags")).alias("n_tags")),
      f"""{_BASE} SELECT shard, segment, count(DISTINCT series_id) AS n_series, count(*) AS n_epochs, min(metric) AS min_metric,

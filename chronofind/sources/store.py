@@ -1,6 +1,7 @@
 """Segment store: versioned Parquet data and an append-only manifest.
 
     <root>/data/version=<v>/shard=<s>/segment=<t>/*.parquet   rows of one write
+    <root>/keys/version=<v>/*.parquet                          (shard, segment, tag_key) of these rows
     <root>/manifest/*.parquet                                  (shard, segment, version, duration, ...)
 
 Data becomes visible when its manifest rows are appended, so readers never meet a partial write, and a
@@ -16,11 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronofind.model import MANIFEST, SERIES
-from chronofind.operators.catalog import SEGMENT, Catalog
+from chronofind.operators.catalog import SEGMENT, Catalog, tag_keys
 from chronofind.operators.compaction import compact, rollup
+from chronofind.plans.pruning import metric_key
 
 _LOG = T.StructType([T.StructField("version", T.LongType()), *MANIFEST.fields])
-_DATA = T.StructType([T.StructField("version", T.LongType()), *SERIES.fields])
+_DATA = T.StructType([T.StructField("version", T.LongType()), *SERIES.fields, T.StructField("metric_key", T.StringType())])
+_KEYS = T.StructType([T.StructField("version", T.LongType()), *SERIES.fields[:2], T.StructField("tag_key", T.StringType())])
 
 
 class SegmentStore:
@@ -47,15 +50,20 @@ class SegmentStore:
         manifest = self.manifest()
         live = manifest.where("committed").select("version", *SEGMENT)
         series = self._read("data", _DATA).join(live, ["version", *SEGMENT], "left_semi").drop("version")
-        return Catalog(series, manifest.drop("version"))
+        keys = self._read("keys", _KEYS).join(live, ["version", *SEGMENT], "left_semi").drop("version")
+        return Catalog(series, manifest.drop("version"), keys)
 
     def write(self, series: DataFrame, manifest: DataFrame, version: int | None = None) -> int:
-        """Write segments in full, replacing earlier versions. Rows are clustered by metric within a
-        segment, so that row groups can be skipped by metric. Gives the version."""
+        """Write segments in full, replacing earlier versions. Rows are ordered by metric within a
+        segment, so that row groups can be skipped by metric; large segments are spread over several
+        files. Gives the version."""
         version = version or time.time_ns()
         rows = series.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in SERIES]).withColumn("version", F.lit(version))
-        (rows.repartition(*SEGMENT, F.pmod(F.xxhash64("metric"), F.lit(8))).sortWithinPartitions(*SEGMENT, "metric")
+        rows = rows.withColumn("metric_key", metric_key(F.col("metric")))
+        (rows.repartition(*SEGMENT, F.pmod(F.xxhash64("metric"), F.lit(8))).sortWithinPartitions(*SEGMENT, "metric_key")
          .write.partitionBy("version", *SEGMENT).mode("append").parquet(f"{self.root}/data"))
+        written = self._read("data", _DATA).where(F.col("version") == version)
+        tag_keys(written).select(F.lit(version).alias("version"), *SEGMENT, "tag_key").write.partitionBy("version").mode("append").parquet(f"{self.root}/keys")
         self.commit(manifest, version)
         return version
 

@@ -128,3 +128,26 @@ def test_metrics(spark):
 def test_queries_over_an_uncommitted_manifest_are_empty(spark):
     series = spark.createDataFrame([(0, S, 1, "m", {}, [S])], SERIES)
     assert timeseries.search(Catalog(series, spark.createDataFrame([], MANIFEST)), request(metric("m"), start=S, end=S)).count() == 0
+
+
+def test_metric_filters_reach_the_scan(spark, tmp_path):
+    from chronofind.plans.filters import parse_filter
+    from chronofind.plans.pruning import metric_prefixes
+    from chronofind.queries.reference import chain, key, negate, value
+
+    prefixes = lambda f: metric_prefixes(parse_filter(f))
+    assert prefixes(metric("Sys.cpu|mem")) == ["mem", "sys"] and prefixes(metric("ab*|c")) == ["a", "c"] and prefixes(metric("(a)")) is None and prefixes(metric(".*")) is None
+    assert prefixes(chain("AND", key("x"), metric("cpu"), negate(metric("mem")))) == ["cpu"] and prefixes(chain("OR", key("x"), metric("cpu"))) is None
+    assert prefixes(chain("OR", metric("b"), negate(key("x")), metric("a"))) == ["a", "b"] and prefixes(chain("AND", negate(metric("a")))) is None
+    assert prefixes(metric("é")) is None and prefixes(metric("a?")) is None
+
+    names = ["cpu", "CPU.user", "ſys", "SYS", "memory", "K", "k", None]
+    series = spark.createDataFrame([(0, S, i, n, {"x": "1"} if i % 2 else {}, [S]) for i, n in enumerate(names)], SERIES)
+    store = SegmentStore(spark, f"file://{tmp_path}/s")
+    store.write(series, ingest.manifest_of(series, 86400))
+    plain = Catalog(series, ingest.manifest_of(series, 86400))
+    for f in (metric("cpu|sys"), metric("k"), metric("cpu.*"), chain("AND", metric("s.*|c.*"), value("x", "1")), chain("OR", metric("K"), value("y", "1")), metric("mem.*")):
+        got, want = (sorted(map(str, timeseries.search(c, request(f, ("x",), start=S, end=S)).collect())) for c in (store.catalog(), plain))
+        assert got == want
+    plan = timeseries.search(store.catalog(), request(metric("cpu"), start=S, end=S))._jdf.queryExecution().toString()
+    assert "StringStartsWith(metric_key,cpu)" in plan
