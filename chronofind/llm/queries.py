@@ -185,7 +185,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir).where(F.col("cut") | F.col("at_limit")).select("doc_id")
+    return _judged(spark, sf_dir).where("truncated").select("doc_id")
 
 
 def cut_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

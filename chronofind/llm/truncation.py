@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronofind.llm.endings import is_cut, lengths
 
 FORMS = tuple(lengths(""))
-_FEATURES = "doc_id bigint, source string, cut boolean, " + ", ".join(f"{f} bigint" for f in FORMS)
+_FEATURES = "doc_id bigint, source string, cut boolean, ended boolean, " + ", ".join(f"{f} bigint" for f in FORMS)
 
 #: A length is a limit where at least MIN_AT texts of a source have exactly it, at least PEAK times as many
 #: as have each of the NEAR lengths below on average, and at most TAIL of them as many are longer.
@@ -21,21 +21,22 @@ MIN_AT, PEAK, NEAR, TAIL = 5, 20, 50, 0.1
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {f: [] for f in FORMS}
-        cut = []
+        cut, ended = [], []
         for text in batch.column("text").to_pylist():
             blank = text is None or not text.strip()
             cut.append(not blank and is_cut(text))
+            ended.append(blank or text.endswith(("\n", "\r")))
             measured = dict.fromkeys(FORMS) if blank else lengths(text)
             for form in FORMS:
                 out[form].append(measured[form])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("source"), pa.array(cut, pa.bool_()), *[pa.array(v, pa.int64()) for v in out.values()]],
-            names=["doc_id", "source", "cut", *FORMS])
+            [batch.column("doc_id"), batch.column("source"), pa.array(cut, pa.bool_()), pa.array(ended, pa.bool_()), *[pa.array(v, pa.int64()) for v in out.values()]],
+            names=["doc_id", "source", "cut", "ended", *FORMS])
 
 
 def features(documents: DataFrame) -> DataFrame:
-    """doc_id, source, cut and the text's length in each of FORMS; lengths of null and blank texts are null,
-    and such texts are never cut."""
+    """doc_id, source, cut, ended (by a line end) and the text's length in each of FORMS; lengths of null and
+    blank texts are null, and such texts are never cut."""
     return documents.select("doc_id", "text", "source").mapInArrow(_features, _FEATURES)
 
 
@@ -58,18 +59,21 @@ def limits(measured: DataFrame) -> DataFrame:
 
 
 def truncated(measured: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """doc_id, source, at_limit, cut of every document; at_limit: its length is its source's limit.
+    """doc_id, source, cut, at_limit, truncated of every document.
 
-    A null source has its own limit, like any other.
+    cut: the ending itself tells; at_limit: the length is its source's limit. A text at the limit is
+    truncated if it is cut or stops short of a line end: one that ends in whole lines there was finished,
+    or filled up to the limit. A null source has its own limit, like any other.
     """
     at = (limits(measured) if found is None else found).withColumnRenamed("source", "s")
     # One row for each source: the join's small side, whose size Spark checks before it broadcasts it.
     joined = measured.join(at, F.col("source").eqNullSafe(F.col("s")), "left")
     length = F.coalesce(*[F.when(F.col("form") == f, F.col(f)) for f in FORMS])
-    return joined.select("doc_id", "source", "cut", F.coalesce(length == F.col("at"), F.lit(False)).alias("at_limit"))
+    at_limit = F.coalesce(length == F.col("at"), F.lit(False))
+    return joined.select("doc_id", "source", "cut", at_limit.alias("at_limit"), (F.col("cut") | (at_limit & ~F.col("ended"))).alias("truncated"))
 
 
 def by_source(judged: DataFrame) -> DataFrame:
-    """source, n, n_cut, share."""
-    bad = F.count_if(F.col("cut") | F.col("at_limit"))
+    """source, n, n_cut, share of truncated texts."""
+    bad = F.count_if("truncated")
     return judged.groupBy("source").agg(F.count(F.lit(1)).alias("n"), bad.alias("n_cut"), (bad / F.count(F.lit(1))).alias("share"))

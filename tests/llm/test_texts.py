@@ -191,6 +191,8 @@ def test_hidden_limits(spark):
     hit = {r.doc_id for r in judged.where("at_limit").collect()}
     assert hit == {i for i, t, s, *_ in rows if t and (s == "utf8" and len(t.encode()) == 200 or s in ("chars", None) and len(t) == 300)}
     assert judged.count() == len(rows)
+    padded = [(i, ("Note: whole." + "\n" * 400)[:300] if i % 2 else "Note: " + "x" * 294, "pad", "", 0) for i in range(60)]
+    assert {r.doc_id for r in truncation.truncated(truncation.features(spark.createDataFrame(padded, DOC))).where("truncated").collect()} == {i for i in range(60) if i % 2 == 0}
     shares = {r.source: (r.n, r.n_cut) for r in truncation.by_source(judged).collect()}
     assert shares["free"] == (752, 0) and shares[None][0] == 751
     assert truncation.truncated(truncation.features(spark.createDataFrame([], DOC))).count() == 0
