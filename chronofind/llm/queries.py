@@ -75,35 +75,39 @@ def day_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(distinct.sketch(_identifiers(spark, sf_dir), _GROUPS, F.col("value")), "p2-sketches")
 
 
-def _level(sketches: DataFrame, name: str, group: list[str]) -> DataFrame:
-    merged = sketches if group == _GROUPS else distinct.merge(sketches, group)
-    columns = [F.col(c) if c in group else F.lit(None).cast(sketches.schema[c].dataType).alias(c) for c in _GROUPS]
-    return distinct.with_estimates(merged.select(F.lit(name).alias("level"), *columns, "hashes")).drop("hashes")
-
-
 def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """level, what, day, ns, metric, estimate, lower, upper: by day, by ns and metric, by ns, by day and ns,
     by all three, and in total. Each level is merged from the next finer sketches."""
     finest = day_sketches(spark, sf_dir)
     by_metric = materialise(distinct.merge(finest, ["what", "ns", "metric"]), "p2-metric")
     by_day_ns = materialise(distinct.merge(finest, ["what", "day", "ns"]), "p2-day")
-    out = _level(finest, "day_ns_metric", _GROUPS)
-    for name, source, group in (
-        ("ns_metric", by_metric, ["what", "ns", "metric"]), ("day_ns", by_day_ns, ["what", "day", "ns"]), ("day", by_day_ns, ["what", "day"]),
-        ("ns", by_metric, ["what", "ns"]), ("all", by_day_ns, ["what"]),
+    out = None
+    for name, ready, group in (
+        ("day_ns_metric", finest, _GROUPS), ("ns_metric", by_metric, ["what", "ns", "metric"]), ("day_ns", by_day_ns, ["what", "day", "ns"]),
+        ("day", distinct.merge(by_day_ns, ["what", "day"]), ["what", "day"]), ("ns", distinct.merge(by_metric, ["what", "ns"]), ["what", "ns"]),
+        ("all", distinct.merge(by_day_ns, ["what"]), ["what"]),
     ):
-        ready = source if name in ("ns_metric", "day_ns") else distinct.merge(source, group)
         columns = [F.col(c) if c in group else F.lit(None).cast(finest.schema[c].dataType).alias(c) for c in _GROUPS]
-        out = out.union(distinct.with_estimates(ready.select(F.lit(name).alias("level"), *columns, "hashes")).drop("hashes"))
+        rows = distinct.with_estimates(ready.select(F.lit(name).alias("level"), *columns, "hashes")).drop("hashes")
+        out = rows if out is None else out.union(rows)
     return out
 
 
 def combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """what, day and the next day: estimates of the series of either, of both, and of one only."""
-    days = materialise(distinct.sketch(_identifiers(spark, sf_dir).where(F.col("what") != "metric"), ["what", "day"], F.col("value")), "p2-days")
-    after = days.select("what", (F.col("day") - 1).alias("day"), F.col("hashes").alias("after"))
-    pairs_of_days = days.join(after, ["what", "day"])
-    return distinct.combined(pairs_of_days, F.col("hashes"), F.col("after")).drop("hashes", "after")
+    """level, what, day, ns, metric: estimates of the series of a day or of the next, of both, and of one
+    only, over everything and for each namespace and metric. Groups without a next day have no row."""
+    finest = day_sketches(spark, sf_dir).where(F.col("what") != "metric")
+    out = None
+    for level, group in (("day", ["what", "day"]), ("day_ns_metric", _GROUPS)):
+        days = finest if group == _GROUPS else materialise(distinct.merge(finest, group), "p2-days")
+        missing = [F.lit(None).cast("string").alias(c) for c in ("ns", "metric") if c not in group]
+        days = days.select(F.lit(level).alias("level"), "what", "day", *(missing or ["ns", "metric"]), "hashes")
+        after = days.select(F.col("what").alias("w"), (F.col("day") - 1).alias("d"), F.col("ns").alias("n"), F.col("metric").alias("m"), F.col("hashes").alias("after"))
+        same = (F.col("what") == F.col("w")) & (F.col("day") == F.col("d")) & F.col("ns").eqNullSafe(F.col("n")) & F.col("metric").eqNullSafe(F.col("m"))
+        joined = days.join(after, same).drop("w", "d", "n", "m")
+        rows = distinct.combined(joined, F.col("hashes"), F.col("after")).drop("hashes", "after")
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 # 3. Terms
@@ -261,11 +265,36 @@ def _estimates() -> str:
           CAST(round(CASE WHEN n < {distinct.K} THEN e ELSE e / {1 - error!r}::DOUBLE END) AS BIGINT) AS upper FROM e"""
 
 
+def _combinations() -> str:
+    k, parts = distinct.K, []
+    for name, group in (("day", ("what", "day")), ("day_ns_metric", ("what", "day", "ns", "metric"))):
+        keys = ", ".join(group)
+        parts.append(f"SELECT '{name}' AS level, what, day, {'ns, metric' if 'ns' in group else 'NULL::VARCHAR AS ns, NULL::VARCHAR AS metric'}, h FROM (SELECT DISTINCT {keys}, h FROM h WHERE what <> 'metric') "
+                     f"QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY h) <= {k}")
+    g = "level, what, day, ns, metric"
+    columns = []
+    for name, count in (("union", "n"), ("intersection", "nab"), ("only_a", "na"), ("only_b", "nb")):
+        p = f"(CAST({count} AS DOUBLE) / n)"
+        spread = f"CASE WHEN exact THEN 0.0 ELSE t * {distinct.Z}::DOUBLE * sqrt({p} * {p} / {float(k - 2)}::DOUBLE + {p} * (1.0::DOUBLE - {p}) / n) END"
+        columns.append(f"CAST(round({p} * t) AS BIGINT) AS n_{name}, CAST(round(greatest(0.0, {p} * t - {spread})) AS BIGINT) AS {name}_lower, CAST(round({p} * t + {spread}) AS BIGINT) AS {name}_upper")
+    return f"""WITH {_VALUES}, s AS ({' UNION ALL '.join(parts)}),
+        z AS (SELECT {g}, count(*) AS size FROM s GROUP BY {g}),
+        pr AS (SELECT a.level, a.what, a.day, a.ns, a.metric, a.size AS sa, b.size AS sb FROM z a JOIN z b ON a.level = b.level AND a.what = b.what AND a.day + 1 = b.day
+               AND a.ns IS NOT DISTINCT FROM b.ns AND a.metric IS NOT DISTINCT FROM b.metric),
+        m AS (SELECT {g}, h, bool_or(ina) AS ina, bool_or(NOT ina) AS inb FROM (SELECT {g}, h, true AS ina FROM s UNION ALL SELECT level, what, day - 1, ns, metric, h, false FROM s) GROUP BY {g}, h),
+        j AS (SELECT pr.*, m.h, m.ina, m.inb FROM pr JOIN m ON pr.level = m.level AND pr.what = m.what AND pr.day = m.day AND pr.ns IS NOT DISTINCT FROM m.ns AND pr.metric IS NOT DISTINCT FROM m.metric
+              QUALIFY row_number() OVER (PARTITION BY pr.level, pr.what, pr.day, pr.ns, pr.metric ORDER BY m.h) <= {k}),
+        c AS (SELECT {g}, any_value(sa) AS sa, any_value(sb) AS sb, count(*) AS n, max(h) AS last, count(*) FILTER (ina AND inb) AS nab, count(*) FILTER (NOT inb) AS na, count(*) FILTER (NOT ina) AS nb FROM j GROUP BY {g}),
+        e AS (SELECT *, CASE WHEN n < {k} THEN CAST(n AS DOUBLE) ELSE {(k - 1) * distinct.SPACE!r}::DOUBLE / CAST(last AS DOUBLE) END AS t, sa < {k} AND sb < {k} AND n < {k} AS exact FROM c)
+        SELECT {g}, {", ".join(columns)} FROM e"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_sample": f"WITH {_LEDGER} SELECT r.record_id, r.xx_hash, l.step AS sample_step FROM records r JOIN ledger l ON r.xx_hash = l.key WHERE chosen",
         "p1_ledger": f"WITH {_LEDGER} SELECT key, priority, step, chosen FROM ledger",
         "p2_distinct": _estimates(),
+        "p2_combined": _combinations(),
         "p3_found": f"WITH {_TERMS} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
         "p3_terms": f"WITH {_TERMS} SELECT field, term, occurrences, n_rows, mark FROM m",
         "p5_found": f"WITH {_PAIRS} SELECT item_a, item_b FROM r WHERE CAST(together AS HUGEINT) * total >= CAST({LIFT} AS HUGEINT) * n_a * n_b",
