@@ -20,12 +20,12 @@ def build_segments(records: DataFrame, num_shards: int, full_duration: int = 864
     """records: metric, tags, series_id, batch (epoch seconds of the batch). Gives model.SERIES.
 
     Of a series repeated within a segment, metric and tags of the smallest order (default: batch, then
-    metric) win, and each repeat only adds its epoch. Rows with null series_id or batch are dropped;
+    metric and tags, so that reruns agree) win, and each repeat only adds its epoch. Rows with null series_id or batch are dropped;
     null metric or tags are kept. The aggregate runs map-side first, so a series that holds most
     of the rows reaches its reducer as one row for each task and epoch.
     """
     rows = route(records, num_shards).where(F.col("series_id").isNotNull() & F.col("batch").isNotNull())
-    first = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([order] if order is not None else [F.col("batch"), F.col("metric")])])
+    first = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([order] if order is not None else [F.col("batch"), F.col("metric"), F.map_entries("tags")])])
     segment = floor_to(F.col("batch"), full_duration)
     rows = rows.select(
         "shard", segment.alias("segment"), "series_id", epoch_bucket(F.col("batch"), segment).alias("epoch"),

@@ -67,7 +67,7 @@ def distinct_rows(series: DataFrame) -> DataFrame:
     series repeated very often moves as a few rows. Of differing copies the one with the smallest metric,
     then the smallest tags, stays, nulls last."""
     body = F.struct("metric", "tags")
-    order = F.struct(F.col("metric").isNull(), "metric", F.col("tags").isNull(), F.to_json("tags"))
+    order = F.struct(F.col("metric").isNull(), "metric", F.col("tags").isNull(), F.map_entries("tags"))
     return series.groupBy("file_id", "timeseries_id").agg(F.min_by(body, order).alias("body"), F.count(F.lit(1)).alias("copies"))
 
 

@@ -28,6 +28,8 @@ DECODED = T.StructType([
     T.StructField("error", T.StringType()),
 ])
 
+# Fixed columns of Spark's binary file source; a stream wants them named.
+_FILES = "path string, modificationTime timestamp, length bigint, content binary"
 _ARROW = pa.schema([
     ("path", pa.string()), ("seq", pa.int64()), ("series_id", pa.int64()), ("metric", pa.string()), ("tags", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
 
@@ -120,7 +122,7 @@ def read_objects(spark: SparkSession, path: str, streaming: bool = False) -> Dat
     One task decodes a whole object, as a gzip stream can't be split.
     """
     reader = spark.readStream if streaming else spark.read
-    files = reader.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = reader.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(_decode_files, DECODED)
 
 

@@ -17,3 +17,17 @@ def test_every_query_with_sql_is_registered():
 def test_flagship(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 3 and sum(r.n_epochs for r in rows) == 5
+
+
+@pytest.mark.parametrize(("sf", "flagship", "either", "compat"), [("sf0.001", 3, 16, 3), ("sf0.01", 21, 162, 5)])
+def test_golden_counts(spark, sf, flagship, either, compat):
+    from chronofind.fixtures import event_catalog
+    from chronofind.operators.timeseries import matching_rows
+    from chronofind.queries.reference import FLAGSHIP, chain, metric, request, value
+
+    if not os.path.isdir(f"/root/testdata/{sf}"):
+        pytest.skip("no test tables")
+    c = event_catalog(spark, f"/root/testdata/{sf}")
+    canary = request(chain("OR", metric("click"), value("canary", "y")))
+    assert matching_rows(c, request(FLAGSHIP)).select("shard", "series_id").distinct().count() == flagship
+    assert matching_rows(c, canary, compat=False).count() == either and matching_rows(c, canary).count() == compat

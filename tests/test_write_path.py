@@ -151,3 +151,15 @@ def test_metric_filters_reach_the_scan(spark, tmp_path):
         assert got == want
     plan = timeseries.search(store.catalog(), request(metric("cpu"), start=S, end=S))._jdf.queryExecution().toString()
     assert "StringStartsWith(metric_key,cpu)" in plan
+
+
+def test_object_stream(spark, tmp_path):
+    for i in range(2):
+        folder = tmp_path / "in" / "ns" / str(S + i * 7200)
+        folder.mkdir(parents=True)
+        (folder / "o.gz").write_bytes(r.frame([r.encode(k, "m", {"h": str(k)}) for k in range(3 + i)] + [b"bad"]))
+    config = EngineConfig(namespace="ns", input_path=f"{tmp_path}/in", shards=2)
+    store = SegmentStore(spark, f"file://{tmp_path}/store")
+    streaming.start(spark, streaming.object_stream(spark, config), store, config, f"{tmp_path}/cp", once=True).awaitTermination()
+    assert {x.series_id: x.epochs for x in store.catalog().series.collect()} == {k: [S] for k in range(4)}
+    assert {x.duration for x in store.manifest().collect()} == {14400}
