@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofind.functions.routing import shard_of
-from chronofind.operators.catalog import Catalog
+from chronofind.operators.catalog import Catalog, tag_keys
 from chronofind.operators.ingest import build_segments, manifest_of
 
 FULL, BATCH, SHARDS = 86_400, 7_200, 10
@@ -32,7 +32,7 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     records = event_records(spark, sf_dir)
     series = build_segments(records, SHARDS, FULL)
-    # The manifest needs only the keys, not the merged rows.
+    # The manifest and the key table don't need the merged rows: a series' id follows from its tags.
     day = F.col("batch") - F.col("batch") % FULL
-    manifest = manifest_of(records.select(shard_of(F.col("series_id"), SHARDS).alias("shard"), day.alias("segment")), FULL)
-    return Catalog(series, manifest)
+    placed = records.select(shard_of(F.col("series_id"), SHARDS).alias("shard"), day.alias("segment"), "tags")
+    return Catalog(series, manifest_of(placed, FULL), tag_keys(placed))

@@ -44,19 +44,24 @@ class Catalog:
     def segments_in(self, start: int, end: int) -> DataFrame:
         return self.visible.where(segment_in_range(F.col("segment"), F.col("duration"), start, end)).select(*SEGMENT)
 
-    def scan(self, segments: DataFrame, end: int | None = None, only: Column | None = None) -> DataFrame:
-        """Series of the given segments. The literal bound prunes partitions before the semi-join does, and
-        `only` (on metric_key) row groups."""
-        rows = self.series if only is None else self.series.where(only)
-        rows = rows.select(self.rows.columns)
-        rows = rows if end is None else rows.where(F.col("segment") <= end)
+    def scan(self, segments: DataFrame, end: int | None = None) -> DataFrame:
+        """Series of the given segments. The literal bound prunes partitions before the semi-join does."""
+        rows = self.rows if end is None else self.rows.where(F.col("segment") <= end)
         return rows.join(segments, SEGMENT, "left_semi")
 
+    def matching(self, facts: DataFrame, end: int, hit: Column, only: Column | None = None) -> DataFrame:
+        """Rows that satisfy hit, with the columns of facts, which has one row for each segment. Rows are
+        filtered before they are joined: by the bound, which prunes partitions, by `only` (on metric_key),
+        which prunes row groups, and by hit."""
+        rows = self.series if only is None else self.series.where(only)
+        rows = rows.select(self.rows.columns).where((F.col("segment") <= end) & hit)
+        return rows.join(facts, SEGMENT)
+
     def keys(self, segments: DataFrame, end: int) -> DataFrame:
-        """Distinct tag keys of the given segments: shard, segment, tag_key."""
+        """Tag keys of the given segments, perhaps repeated: shard, segment, tag_key."""
         if self.key_table is not None:
             return self.key_table.select(*SEGMENT, "tag_key").where(F.col("segment") <= end).join(segments, SEGMENT, "left_semi")
-        return tag_keys(self.scan(segments, end))
+        return _exploded(self.scan(segments, end))
 
     @cached_property
     def shards(self) -> DataFrame:
@@ -64,14 +69,10 @@ class Catalog:
         return self.visible.select("shard").distinct()
 
 
-def tag_keys(rows: DataFrame) -> DataFrame:
-    """Distinct tag keys by segment."""
-    return rows.select(*SEGMENT, F.explode(F.map_keys("tags")).alias("tag_key")).distinct()
+def _exploded(rows: DataFrame) -> DataFrame:
+    return rows.select(*SEGMENT, F.explode(F.map_keys("tags")).alias("tag_key"))
 
 
-def with_all_keys(keys: DataFrame, segments: DataFrame, required: list[str]) -> DataFrame:
-    """Segments in which every required key occurs."""
-    if not required:
-        return segments
-    found = keys.where(F.col("tag_key").isin(required)).groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("n"))
-    return segments.join(found.where(F.col("n") == len(required)).select(*SEGMENT), SEGMENT, "left_semi")
+def tag_keys(rows: DataFrame) -> DataFrame:
+    """Distinct tag keys by segment."""
+    return _exploded(rows).distinct()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -12,41 +14,55 @@ from chronofind.errors import QueryError
 from chronofind.functions.matching import literal_pattern
 from chronofind.functions.timing import alive
 from chronofind.model import NO_DATA
-from chronofind.operators.catalog import SEGMENT, Catalog, with_all_keys
+from chronofind.operators.catalog import SEGMENT, Catalog
 from chronofind.plans.filters import always_fails, required_keys, root_column
 from chronofind.plans.pruning import prefix_filter
 from chronofind.plans.request import Request
 
+def _no_keys() -> Column:
+    return F.array().cast(T.ArrayType(T.StringType()))
 
-def matching_rows(catalog: Catalog, request: Request, compat: bool = True) -> DataFrame:
-    """Series rows that satisfy the request, one for each segment in which they are stored.
+
+def _matching(pattern: str) -> Callable[[Column], Column]:
+    return lambda k: k.rlike(pattern)
+
+
+def _segment_facts(catalog: Catalog, request: Request, compat: bool, grouped: bool) -> DataFrame:
+    """shard, segment and, if grouped, group_keys of the segments in range that can contribute.
+
+    group_keys: the segment's tag keys that the group names resolve to, in order of the names, then of the
+    keys. Only keys that a filter or a group name asks for are gathered, map-side first, so a segment
+    with very many keys moves few of them.
+    """
+    segments = catalog.segments_in(request.start, request.end)
+    needed = required_keys(request.filter) if compat else []
+    names = [literal_pattern(name) for name in request.group] if grouped else []
+    if not needed and not names:
+        return segments.withColumn("group_keys", _no_keys()) if grouped else segments
+    asked = reduce(or_, [F.col("tag_key").rlike(p) for p in names], F.col("tag_key").isin(needed) if needed else F.lit(False))
+    keys = catalog.keys(segments, request.end).where(asked).groupBy(*SEGMENT).agg(F.collect_set("tag_key").alias("ks"))
+    facts = segments.join(keys, SEGMENT, "left").withColumn("ks", F.coalesce("ks", _no_keys()))
+    if needed:
+        facts = facts.where(F.size(F.array_intersect("ks", F.array(*map(F.lit, needed)))) == len(needed))
+    if not grouped:
+        return facts.select(*SEGMENT)
+    resolved = [F.array_sort(F.filter("ks", _matching(p))) for p in names]
+    return facts.select(*SEGMENT, (F.concat(*resolved) if resolved else _no_keys()).alias("group_keys"))
+
+
+def matching_rows(catalog: Catalog, request: Request, compat: bool = True, grouped: bool = False) -> DataFrame:
+    """Series rows that satisfy the request, one for each segment in which they are stored; grouped adds
+    the segment's group_keys.
 
     compat: a segment that lacks a tag key that some value filter names contributes nothing, wherever
     in the tree the filter stands. Without compat such a filter is merely false there. Series with
     null metric, tags or epochs match nothing that looks at them; series without epochs are never alive.
     """
-    segments = catalog.segments_in(request.start, request.end)
-    only = prefix_filter(F.col("metric_key"), request.filter) if catalog.prunable else None
-    rows = catalog.scan(segments, request.end, only)
+    hit = root_column(request.filter, F.col("metric"), F.col("tags")) & alive(F.col("epochs"), request.start, request.end)
     if always_fails(request.filter):
-        return rows.where(F.lit(False))
-    if compat and (needed := required_keys(request.filter)):
-        complete = with_all_keys(catalog.keys(segments, request.end), segments, needed)
-        rows = rows.join(complete, SEGMENT, "left_semi")
-    hit = root_column(request.filter, F.col("metric"), F.col("tags"))
-    return rows.where(hit & alive(F.col("epochs"), request.start, request.end))
-
-
-def _group_keys(catalog: Catalog, request: Request) -> DataFrame:
-    """shard, segment, group_keys: the segment's tag keys that the group names resolve to, in order of
-    the names, then of the keys."""
-    keys = catalog.keys(catalog.segments_in(request.start, request.end), request.end)
-    at = F.array_compact(F.array(*[
-        F.when(F.col("tag_key").rlike(literal_pattern(name)), F.struct(F.lit(i).alias("i"), F.col("tag_key").alias("k")))
-        for i, name in enumerate(request.group)
-    ]))
-    named = keys.select(*SEGMENT, F.explode(at).alias("at"))
-    return named.groupBy(*SEGMENT).agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["k"]).alias("group_keys"))
+        hit = F.lit(False)
+    only = prefix_filter(F.col("metric_key"), request.filter) if catalog.prunable else None
+    return catalog.matching(_segment_facts(catalog, request, compat, grouped), request.end, hit, only)
 
 
 def group_vector(keys: Column, tags: Column) -> Column:
@@ -63,13 +79,9 @@ def search(catalog: Catalog, request: Request, compat: bool = True, need_segment
     """
     if need_segments and catalog.segments_in(request.start, request.end).isEmpty():
         raise QueryError("no segment in this time range")
-    rows = matching_rows(catalog, request, compat)
-    empty = F.array().cast(T.ArrayType(T.StringType()))
-    if request.group:
-        rows = rows.join(_group_keys(catalog, request), SEGMENT, "left")
-        grp = F.coalesce(group_vector(F.col("group_keys"), F.col("tags")), empty)
-    else:
-        grp = empty
+    rows = matching_rows(catalog, request, compat, bool(request.group))
+    empty = _no_keys()
+    grp = F.coalesce(group_vector(F.col("group_keys"), F.col("tags")), empty) if request.group else empty
     keyed = rows.select("shard", grp.alias("grp"), "series_id", "epochs")
     merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("epochs"))))
     return keyed.groupBy("shard", "grp", "series_id").agg(merged.alias("epochs"))
