@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chronofind.functions.tokens import COUNTED, counted, metric_and_tags
 from chronofind.session import materialise
 
-#: Pairs are formed for so many items' worth of rows at once, and partial counts leave a task by so many.
+#: Pairs are formed in blocks of about this many, and partial counts leave a task by as many.
 _BLOCK_PAIRS = 2_000_000
 _PAIRS = "x bigint, y bigint, together bigint"
 
@@ -39,15 +39,16 @@ def _row_pairs(hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarra
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
     h, r = h[keep], r[keep]
-    # The i-th item of a row pairs with each later one: shift the array against itself by 1, 2, ...
+    # The i-th item of a row pairs with the one 1, 2, ... places on; who has none at one distance has none further on.
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    size, shift = 0, 1
-    while shift < len(h):
-        same = r[shift:] == r[:-shift]
-        if not same.any():
+    size, shift, at = 0, 1, np.arange(len(h))
+    while True:
+        at = at[at + shift < len(h)]
+        at = at[r[at + shift] == r[at]]
+        if not len(at):
             break
-        held.append((h[:-shift][same], h[shift:][same]))
-        size += len(held[-1][0])
+        held.append((h[at], h[at + shift]))
+        size += len(at)
         if size > _BLOCK_PAIRS:
             yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
             held, size = [], 0
