@@ -8,6 +8,7 @@ again without the repeats. Every large file is read back by its footer before it
 from __future__ import annotations
 
 import io
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -84,7 +85,8 @@ def _write(where: str, part: str, contents: list[bytes], rows: int) -> int:
     meta = pq.ParquetFile(io.BytesIO(joined.content)).metadata
     if (meta.num_rows, meta.num_row_groups) != (rows, joined.blocks) or joined.rows != rows:
         raise SegmentError(f"{part}: {meta.num_rows} rows in {meta.num_row_groups} blocks, not {rows}")
-    fs, root = pafs.FileSystem.from_uri(where)
+    # Spark's names of the object store are the same file system to Arrow.
+    fs, root = pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", where))
     fs.create_dir(root, recursive=True)
     draft = f"{root}/_{part}.{uuid.uuid4().hex}"
     with fs.open_output_stream(draft) as out:

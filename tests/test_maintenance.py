@@ -124,9 +124,9 @@ def _chosen(spark, files, rollups):
 def test_choice_of_files(spark):
     files = [(1, "a", 1, 100, True, 1), (2, "a", 1, 100, True, 2), (3, "a", 1, 100, False, 3), (4, "a", 1, 700, True, 1), (5, "a", 1, 700, True, 1), (6, "a", 2, 700, True, None),
              (7, "a", 1, 1300, True, 1), (8, "a", 1, 1900, True, 1), (9, "b", 1, 1300, True, 1), (10, None, None, None, True, 1), (11, None, None, None, True, 2), (12, "a", 1, 2500, None, 1)]
-    rollups = [("a", 1, ["1300", None, "", "x"], True, 0), ("a", 1, [" 01900\n"], True, 0), ("a", 2, ["seg/a/2/700/segment.myst"], False, 0), ("b", 1, None, True, 0)]
+    rollups = [("a", 1, ["1300", None, "", "x"], True, 0), ("a", 1, [" 01900\n"], True, 0), ("a", 2, ["seg/a/2/700/segment.bin"], False, 0), ("b", 1, None, True, 0)]
     assert sorted(r.file_id for r in _chosen(spark, files, rollups).collect()) == [2, 4, 5, 6, 9, 11]
-    assert sorted(r.file_id for r in _chosen(spark, files, [("a", 2, ["seg/a/2/700/segment.myst"], True, 0)]).collect()) == [2, 4, 5, 7, 8, 9, 11]
+    assert sorted(r.file_id for r in _chosen(spark, files, [("a", 2, ["seg/a/2/700/segment.bin"], True, 0)]).collect()) == [2, 4, 5, 7, 8, 9, 11]
     assert _chosen(spark, [], []).count() == 0
 
 
