@@ -19,10 +19,10 @@ def hashed(value: Column) -> Column:
 
 
 def _smallest(rows: DataFrame, group: list[str], k: int) -> DataFrame:
-    """group, hashes ARRAY<BIGINT> ascending, from rows distinct in (group, h)."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("h"))
-    kept = rows.select(*group, "h", rank.alias("r")).where(F.col("r") <= k)
-    return kept.groupBy(*group).agg(F.array_sort(F.collect_list("h")).alias("hashes"))
+    """group, hashes ARRAY<BIGINT> ascending, from rows distinct in (group, __h)."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("__h"))
+    kept = rows.select(*group, "__h", rank.alias("__r")).where(F.col("__r") <= k)
+    return kept.groupBy(*group).agg(F.array_sort(F.collect_list("__h")).alias("hashes"))
 
 
 def sketch(rows: DataFrame, group: list[str], value: Column, k: int = K) -> DataFrame:
@@ -32,13 +32,13 @@ def sketch(rows: DataFrame, group: list[str], value: Column, k: int = K) -> Data
     with most of the rows is spread), and each task passes on at most k hashes of a group. Null values
     aren't counted; groups with nothing but nulls have no sketch; null group columns form groups.
     """
-    return _smallest(rows.select(*group, hashed(value).alias("h")).where(F.col("h").isNotNull()).distinct(), group, k)
+    return _smallest(rows.select(*group, hashed(value).alias("__h")).where(F.col("__h").isNotNull()).distinct(), group, k)
 
 
 def merge(sketches: DataFrame, group: list[str], k: int = K) -> DataFrame:
     """Sketches of coarser groups from finer ones, or of a group from partial results: the k smallest of
     all hashes. Merging what was sketched apart gives what one sketch of all rows would."""
-    return _smallest(sketches.select(*group, F.explode("hashes").alias("h")).distinct(), group, k)
+    return _smallest(sketches.select(*group, F.explode("hashes").alias("__h")).distinct(), group, k)
 
 
 def count_of(hashes: Column, k: int = K) -> Column:

@@ -78,6 +78,8 @@ def test_small_groups_are_exact_and_merge(spark):
     coarse = {r.g: list(r.hashes) for r in distinct.merge(fine, ["g"]).collect()}
     assert coarse == {r.g: list(r.hashes) for r in distinct.sketch(df, ["g"], F.col("v")).collect()}
     assert distinct.sketch(df.limit(0), ["g"], F.col("v")).count() == 0
+    clash = df.select(F.col("g").alias("h"), F.col("day").alias("r"), "v")
+    assert {(r.h, r.r): r.estimate for r in distinct.with_estimates(distinct.sketch(clash, ["h", "r"], F.col("v"))).collect()} == got
 
 
 def test_large_counts_keep_their_bounds(spark):
