@@ -25,13 +25,12 @@ def build_segments(records: DataFrame, num_shards: int, full_duration: int = 864
     of the rows reaches its reducer as one row for each task and epoch.
     """
     rows = route(records, num_shards).where(F.col("series_id").isNotNull() & F.col("batch").isNotNull())
-    first = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([order] if order is not None else [F.col("batch"), F.col("metric"), F.map_entries("tags")])])
     segment = floor_to(F.col("batch"), full_duration)
-    rows = rows.select(
-        "shard", segment.alias("segment"), "series_id", epoch_bucket(F.col("batch"), segment).alias("epoch"),
-        F.struct("metric", "tags").alias("body"), first.alias("first"))
-    merged = rows.groupBy(*KEY).agg(F.min_by("body", "first").alias("body"), F.array_sort(F.collect_set("epoch")).alias("epochs"))
-    return merged.select(*KEY, "body.metric", "body.tags", "epochs")
+    # The smallest of (order, metric, tags) holds what is kept, so nothing moves twice.
+    first = F.struct((order if order is not None else F.col("batch")).alias("o"), F.col("metric").isNull(), "metric", F.map_entries("tags").alias("entries"))
+    rows = rows.select("shard", segment.alias("segment"), "series_id", epoch_bucket(F.col("batch"), segment).alias("epoch"), first.alias("first"))
+    merged = rows.groupBy(*KEY).agg(F.min("first").alias("f"), F.array_sort(F.collect_set("epoch")).alias("epochs"))
+    return merged.select(*KEY, "f.metric", F.map_from_entries("f.entries").alias("tags"), "epochs")
 
 
 def manifest_of(series: DataFrame, duration: int) -> DataFrame:

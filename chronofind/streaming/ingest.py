@@ -20,7 +20,7 @@ def merge_records(store: SegmentStore, records: DataFrame, config: EngineConfig,
     span from its start to the end of its latest batch. Gives the version, None for an empty batch."""
     spark = store.spark
     path = scratch_path(spark, "batch")
-    order = F.struct("batch", *(["seq"] if "seq" in records.columns else []), "metric", F.map_entries("tags"))
+    order = F.struct("batch", *(["seq"] if "seq" in records.columns else []))
     try:
         kept = records.where(F.col("series_id").isNotNull() & F.col("batch").isNotNull())
         build_segments(kept, config.shards, config.segment_full_duration, order).write.parquet(f"{path}/series")
