@@ -67,9 +67,9 @@ def distinct_rows(series: DataFrame) -> DataFrame:
     """One row for each file and series, and in how many copies it stood; aggregated map-side, so that a
     series repeated very often moves as a few rows. Of differing copies the one with the smallest metric,
     then the smallest tags, stays, nulls last."""
-    body = F.struct("metric", "tags")
-    order = F.struct(F.col("metric").isNull(), "metric", F.col("tags").isNull(), F.map_entries("tags"))
-    return series.groupBy("file_id", "timeseries_id").agg(F.min_by(body, order).alias("body"), F.count(F.lit(1)).alias("copies"))
+    order = F.struct(F.col("metric").isNull(), "metric", F.col("tags").isNull(), F.map_entries("tags").alias("entries"))
+    merged = series.groupBy("file_id", "timeseries_id").agg(F.min(order).alias("b"), F.count(F.lit(1)).alias("copies"))
+    return merged.select("file_id", "timeseries_id", "b.metric", F.map_from_entries("b.entries").alias("tags"), "copies")
 
 
 def encode(table: pa.Table) -> bytes:
@@ -168,7 +168,7 @@ def merge_files(chosen: DataFrame, series: DataFrame, where: str, window_seconds
         "file_id", *PLACE, "window", F.pmod(F.xxhash64("file_id"), F.ceil(F.greatest("group_rows", target) / target)).alias("slot"),
         F.ceil(F.greatest("file_rows", target) / target).cast("bigint").alias("pieces"))
     full = placed.join(rows.withColumn("present", F.lit(True)), "file_id", "left").select(
-        "file_id", *PLACE, "timeseries_id", "body.metric", "body.tags", "copies", F.coalesce("present", F.lit(False)).alias("present"),
+        "file_id", *PLACE, "timeseries_id", "metric", "tags", "copies", F.coalesce("present", F.lit(False)).alias("present"),
         F.md5(F.to_json(F.struct("ns", "shard_id", "window", "slot", F.pmod(F.xxhash64("timeseries_id"), F.col("pieces")).alias("piece")))).alias("part"))
     settled = full.repartition("part").sortWithinPartitions("part", "epoch", "file_id", "timeseries_id")
     return settled.mapInArrow(_merger(where), MANIFEST).groupBy("file_id").agg(
