@@ -19,10 +19,10 @@ def route(records: DataFrame, num_shards: int) -> DataFrame:
 def build_segments(records: DataFrame, num_shards: int, full_duration: int = 86400, order: Column | None = None) -> DataFrame:
     """records: metric, tags, series_id, batch (epoch seconds of the batch). Gives model.SERIES.
 
-    Of a series repeated within a segment, metric and tags of the smallest order (default: batch, then
-    metric and tags, so that reruns agree) win, and each repeat only adds its epoch. Rows with null series_id or batch are dropped;
-    null metric or tags are kept. The aggregate runs map-side first, so a series that holds most
-    of the rows reaches its reducer as one row for each task and epoch.
+    Of a series repeated within a segment, metric and tags of the smallest order (default: batch; ties by
+    metric and tags, null metrics last, so that reruns agree) win, and each repeat only adds its epoch.
+    Rows with null series_id or batch are dropped; null metric or tags are kept. The aggregate runs
+    map-side first, so a series that holds most of the rows reaches its reducer as one row a task.
     """
     rows = route(records, num_shards).where(F.col("series_id").isNotNull() & F.col("batch").isNotNull())
     segment = floor_to(F.col("batch"), full_duration)
