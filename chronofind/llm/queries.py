@@ -40,12 +40,24 @@ def _steps(records: DataFrame) -> DataFrame:
 
 
 def grown_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, priority, step, chosen: every series seen, in the growth step that first saw it."""
-    arriving = _steps(_table(spark, sf_dir, "records").select("xx_hash", "batch_epoch"))
-    ledger = sampling.empty_ledger(arriving)
-    for step in range(STEPS):
-        ledger = ledger.union(sampling.grow(ledger, arriving.where(F.col("step") == step).select(F.col("xx_hash").alias("key")), RATE, step))
-    return ledger
+    """key, priority, step, chosen: every series seen, in the growth step that first saw it.
+
+    The ledger is stored by the table's folder. The first run replays the table in STEPS; each later run
+    reads what is stored, which stands, and appends its unseen series as one further step.
+    """
+    records = _table(spark, sf_dir, "records")
+    path = sampling.ledger_path(spark, sf_dir)
+    ledger, number = sampling.stored(spark, path)
+    if ledger is None:
+        arriving, new = _steps(records.select("xx_hash", "batch_epoch")), sampling.empty_ledger(records)
+        for step in range(STEPS):
+            new = new.union(sampling.grow(new, arriving.where(F.col("step") == step).select(F.col("xx_hash").alias("key")), RATE, step))
+    else:
+        new = sampling.grow(ledger, records.select(F.col("xx_hash").alias("key")), RATE, ledger.agg(F.max("step")).first()[0] + 1)
+    if new.isEmpty():
+        return new if ledger is None else ledger
+    sampling.append(new, path, number)
+    return sampling.stored(spark, path)[0]
 
 
 def sampled_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofind.session import materialise
+from chronofind.session import materialise, shared_dir
 
 LEDGER = T.StructType([
     T.StructField("key", T.LongType()),
@@ -76,6 +78,34 @@ def empty_ledger(like: DataFrame) -> DataFrame:
     return like.sparkSession.createDataFrame([], LEDGER)
 
 
+def ledger_path(spark: SparkSession, source: str) -> str:
+    """The lasting folder of the ledger of a source: in spark.chronofind.ledger.dir, or where that is unset
+    in the shared folder, outside of what drop_scratch deletes."""
+    root = spark.conf.get("spark.chronofind.ledger.dir", None) or f"{shared_dir(spark)}/chronofind-ledgers"
+    return f"{root}/{hashlib.md5(source.rstrip('/').encode()).hexdigest()}"
+
+
+def stored(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The ledger at path, None if there is none yet, and the number of the next append."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+    names = [n for n in names if n.isdigit()]
+    return (spark.read.schema(LEDGER).parquet(*(f"{path}/{n}" for n in names)), int(names[-1]) + 1) if names else (None, 0)
+
+
+def append(new: DataFrame, path: str, number: int) -> None:
+    """Store decisions for good. They become visible at once, by a rename; where another run made an append of
+    this number meanwhile, it raises, and the run has to be repeated on what is stored then."""
+    spark = new.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs
+    writing = f"{path}/_writing-{uuid.uuid4().hex}"
+    new.write.parquet(writing)
+    source, target = fs.Path(writing), fs.Path(f"{path}/{number:010d}")
+    plain = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+    fs.FileContext.getFileContext(source.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration()).rename(source, target, plain)
+
+
 def sample(rows: DataFrame, key: str, ledger: DataFrame) -> DataFrame:
     """Rows whose key the ledger chose, with the step in which it did; all rows of a key or none."""
     kept = ledger.where("chosen").select(F.col("key").alias("__key"), F.col("step").alias("sample_step"))

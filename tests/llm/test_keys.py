@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronofind.llm import distinct, pairs, sampling, seen, terms
+from chronofind.llm import distinct, pairs, queries, sampling, seen, terms
 from chronofind.llm.perfecthash import PerfectIndex
 
 RECORD = "record_id bigint, xx_hash bigint, metric string, tags map<string,string>, key string, n bigint"
@@ -62,6 +62,33 @@ def test_sample_takes_all_rows_of_a_key(spark):
     assert len(got) == 10 and set(got.values()) == {10}
 
 
+def test_registered_sample_keeps_chosen_keys_as_the_table_grows(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(-10**15, 10**15) if i % 50 else None, rng.randrange(30) * queries.DAY) for i in range(4000)]
+    table = lambda n: spark.createDataFrame(rows[:n], "record_id bigint, xx_hash bigint, batch_epoch bigint").write.mode("overwrite").parquet(f"{tmp_path}/records.parquet")
+    table(0)
+    assert queries.grown_ledger(spark, str(tmp_path)).count() == 0
+    before = {}
+    for n in (2800, 3800, 4000):
+        table(n)
+        now = decided(queries.grown_ledger(spark, str(tmp_path)))
+        assert set(now) == {k for _, k, _ in rows[:n] if k is not None} and {k: now[k] for k in before} == before
+        chosen = {k for k, (_, _, c) in now.items() if c}
+        assert len(chosen) == math.ceil(len(now) / 10)
+        assert {r.xx_hash for r in queries.sampled_records(spark, f"{tmp_path}/").collect()} == chosen
+        before = now
+    assert decided(queries.grown_ledger(spark, str(tmp_path))) == before
+    assert sampling.stored(spark, sampling.ledger_path(spark, str(tmp_path)))[1] == 3
+
+
+def test_two_runs_cannot_append_under_one_number(spark, tmp_path):
+    new = sampling.grow(sampling.empty_ledger(spark.range(1)), keys(spark, range(20)), Fraction(1, 10), 0)
+    sampling.append(new, f"file://{tmp_path}/ledger", 0)
+    with pytest.raises(Exception, match="(?i)exists"):
+        sampling.append(new, f"file://{tmp_path}/ledger", 0)
+    assert sampling.stored(spark, f"file://{tmp_path}/ledger")[0].count() == 20
+
+
 # Sketches
 
 
