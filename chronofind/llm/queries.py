@@ -137,7 +137,15 @@ def marked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 5. Pairs
 
 
+def every_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report: each two tags that stand together in any row, with lift and pmi."""
+    records = _table(spark, sf_dir, "records")
+    counted = pairs.pair_counts(records, pairs.marginals(records), 1)
+    return pairs.with_association(counted, records.count())
+
+
 def pair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of every_pair that stands together in at least TOGETHER rows, as its SQL has it."""
     records = _table(spark, sf_dir, "records")
     counted = pairs.pair_counts(records, pairs.marginals(records), TOGETHER)
     return pairs.with_association(counted, records.count())
@@ -222,6 +230,7 @@ def queries() -> dict[str, Query]:
         "p3_terms": term_counts,
         "p5_found": associated_pairs,
         "p5_pairs": pair_report,
+        "p5_report": every_pair,
         "p6_found": repeated_records,
         "p6_error": wrong_answers,
         "p8_ids": token_ids,
@@ -254,6 +263,8 @@ s AS (SELECT item, count(*) AS n FROM i GROUP BY 1),
 t AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS together FROM i a JOIN i b ON a.record_id = b.record_id AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= {TOGETHER}),
 r AS (SELECT t.*, x.n AS n_a, y.n AS n_b, (SELECT count(*) FROM records) AS total FROM t JOIN s x ON t.item_a = x.item JOIN s y ON t.item_b = y.item)"""
 
+_EVERY_PAIR = _PAIRS.replace(f" HAVING count(*) >= {TOGETHER}", "")
+
 _VALUES = f"""
 v AS (SELECT 'xx_hash' AS what, batch_epoch // {DAY} AS day, ns, metric, CAST(xx_hash AS VARCHAR) AS value FROM records
   UNION ALL SELECT 'metric', batch_epoch // {DAY}, ns, NULL, metric FROM records
@@ -312,6 +323,8 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"WITH {_PAIRS} SELECT item_a, item_b FROM r WHERE CAST(together AS HUGEINT) * total >= CAST({LIFT} AS HUGEINT) * n_a * n_b",
         "p5_pairs": f"""WITH {_PAIRS} SELECT item_a, item_b, together, n_a, n_b, CAST(together AS DOUBLE) * CAST(total AS DOUBLE) / (CAST(n_a AS DOUBLE) * CAST(n_b AS DOUBLE)) AS lift,
             log2(CAST(together AS DOUBLE) * CAST(total AS DOUBLE) / (CAST(n_a AS DOUBLE) * CAST(n_b AS DOUBLE))) AS pmi FROM r""",
+        "p5_report": f"""WITH {_EVERY_PAIR} SELECT item_a, item_b, together, n_a, n_b, CAST(together AS DOUBLE) * CAST(total AS DOUBLE) / (CAST(n_a AS DOUBLE) * CAST(n_b AS DOUBLE)) AS lift,
+            log2(CAST(together AS DOUBLE) * CAST(total AS DOUBLE) / (CAST(n_a AS DOUBLE) * CAST(n_b AS DOUBLE))) AS pmi FROM r""",
         "p6_found": """SELECT record_id FROM (SELECT record_id, xx_hash, min(record_id) OVER (PARTITION BY xx_hash) AS first FROM records WHERE xx_hash IS NOT NULL)
             WHERE record_id > first OR xx_hash IN (SELECT xx_hash FROM tags_and_timestamp WHERE xx_hash IS NOT NULL)""",
         "p6_error": """WITH k AS (SELECT DISTINCT xx_hash FROM records WHERE xx_hash IS NOT NULL)

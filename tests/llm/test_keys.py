@@ -186,6 +186,16 @@ def test_pairs_against_all_pairs(spark):
     assert pairs.pair_counts(df.limit(0), pairs.marginals(df.limit(0)), 1).count() == 0
 
 
+def test_registered_report_holds_every_pair(spark, tmp_path):
+    rows, df = records(spark)
+    df.write.parquet(f"{tmp_path}/records.parquet")
+    both = Counter(p for _, _, _, tags, *_ in rows for p in combinations(sorted({f"{k}={v}" for k, v in (tags or {}).items() if v is not None}, key=str.encode), 2))
+    got = {(r.item_a, r.item_b): r.together for r in queries.queries()["p5_report"](spark, str(tmp_path)).collect()}
+    assert got == both and min(both.values()) < queries.TOGETHER
+    floor = {(r.item_a, r.item_b): r.together for r in queries.queries()["p5_pairs"](spark, str(tmp_path)).collect()}
+    assert floor == {p: n for p, n in both.items() if n >= queries.TOGETHER}
+
+
 def test_a_very_wide_row(spark):
     df = spark.createDataFrame([(0, 0, "m", {f"k{i}": "v" for i in range(700)}, "", 0)] * 2, RECORD)
     assert pairs.pair_counts(df, pairs.marginals(df), 2).count() == 700 * 699 // 2
