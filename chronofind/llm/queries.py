@@ -180,7 +180,8 @@ def wrong_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _table(spark, sf_dir, "records").select("record_id", "xx_hash")
     stored = _table(spark, sf_dir, "tags_and_timestamp").select(F.col("xx_hash").alias("key"))
     parts = seen.parts_for(stored.count() + records.count())
-    return seen.error_rate(seen.first_of(records, "xx_hash", "record_id"), seen.seal(stored, parts), stored, parts)
+    answered = seen.answers(records, "xx_hash", "record_id", stored, parts, _arrivals(records))
+    return seen.answers_error_rate(answered, records, "xx_hash", "record_id", stored)
 
 
 # 8. Tokens

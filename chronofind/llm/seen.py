@@ -79,8 +79,9 @@ def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(order).alias("first"))
 
 
-def firsts(rows: DataFrame, key: str, order: str, earlier: DataFrame, parts: int, batches: list[tuple[int, int]]) -> DataFrame:
-    """key, first: the rows (by their unique order) whose key is new, written to the shared folder.
+def answers(rows: DataFrame, key: str, order: str, earlier: DataFrame, parts: int, batches: list[tuple[int, int]], only_new: bool = False) -> DataFrame:
+    """key, first, stored: what the indexes answer on each distinct key of each batch, or the new ones only;
+    written to the shared folder.
 
     Batches are ranges [from, to) of order, ascending and covering it. For each, keys are looked up in the
     sealed partitions so far, and what is new is sealed in turn; the raw keys of earlier batches are never
@@ -90,13 +91,19 @@ def firsts(rows: DataFrame, key: str, order: str, earlier: DataFrame, parts: int
     out = None
     for i, (low, high) in enumerate(batches):
         batch = first_of(rows.where((F.col(order) >= low) & (F.col(order) < high)), key, order)
-        fresh = materialise(probe(batch, index, parts).where(~F.col("stored")).select("key", "first"), "seen-new")
-        out = fresh if out is None else out.union(fresh)
+        answered = probe(batch, index, parts)
+        answered = materialise(answered.where(~F.col("stored")) if only_new else answered, "seen-new")
+        out = answered if out is None else out.union(answered)
         if i < len(batches) - 1:
-            index = index.union(seal(fresh, parts))
+            index = index.union(seal(answered.where(~F.col("stored")), parts))
     return out
 
 
+def firsts(rows: DataFrame, key: str, order: str, earlier: DataFrame, parts: int, batches: list[tuple[int, int]]) -> DataFrame:
+    """key, first: the rows (by their unique order) whose key is new, batch by batch as in answers."""
+    return answers(rows, key, order, earlier, parts, batches, only_new=True).select("key", "first")
+
+
 def seen_before(rows: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Rows with a non-null key that aren't its first occurrence. order is unique, so this anti-join is
     even however uneven the keys are."""
@@ -108,6 +115,21 @@ def error_rate(batch: DataFrame, index: DataFrame, earlier: DataFrame, parts: in
     ones, and those of them that the index claims to know. Misses of known keys can't happen."""
     truth = earlier.select("key").where(F.col("key").isNotNull()).distinct().withColumn("known", F.lit(True))
     judged = probe(batch, index, parts).join(truth, "key", "left").select("stored", F.coalesce("known", F.lit(False)).alias("known"))
+    return _rate(judged, F.count(F.lit(1)))
+
+
+def answers_error_rate(answered: DataFrame, rows: DataFrame, key: str, order: str, earlier: DataFrame) -> DataFrame:
+    """n_probed, n_absent, n_wrong, rate over all batches of answers: distinct keys probed, answers on keys that
+    were neither among the earlier ones nor in a row before, and wrong answers of either kind. A key wrongly
+    taken for known isn't sealed, so a later batch may miss it; that counts too."""
+    truth = earlier.select("key").where(F.col("key").isNotNull()).distinct().withColumn("known", F.lit(True))
+    ever = first_of(rows, key, order).withColumnRenamed("first", "ever")
+    judged = answered.join(ever, "key").join(truth, "key", "left")
+    again = F.col("ever") < F.col("first")
+    return _rate(judged.select("stored", (again | F.coalesce("known", F.lit(False))).alias("known"), again.alias("again")), F.count_if(~F.col("again")))
+
+
+def _rate(judged: DataFrame, probed: Column) -> DataFrame:
     absent = F.count_if(~F.col("known"))
     wrong = F.count_if(F.col("stored") != F.col("known"))
-    return judged.agg(F.count(F.lit(1)).alias("n_probed"), absent.alias("n_absent"), wrong.alias("n_wrong"), F.coalesce(F.try_divide(wrong, absent), F.lit(0.0)).alias("rate"))
+    return judged.agg(probed.alias("n_probed"), absent.alias("n_absent"), wrong.alias("n_wrong"), F.coalesce(F.try_divide(wrong, absent), F.lit(0.0)).alias("rate"))

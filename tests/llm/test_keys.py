@@ -239,3 +239,19 @@ def test_seen_before(spark, parts):
     rate = seen.error_rate(seen.first_of(df, "xx_hash", "record_id"), seen.seal(stored, parts), stored, parts).first()
     probed = {k for _, k, *_ in rows if k is not None}
     assert (rate.n_probed, rate.n_absent, rate.n_wrong, rate.rate) == (len(probed), len(probed - set(earlier)), 0, 0.0)
+
+
+def test_error_rate_covers_the_indexes_of_earlier_batches(spark, tmp_path, monkeypatch):
+    rows = [(i, i % 150 if i < 600 else 9_000 + i % 2) for i in range(800)] + [(800, None)]
+    spark.createDataFrame(rows, "record_id bigint, xx_hash bigint").write.parquet(f"{tmp_path}/records.parquet")
+    spark.createDataFrame([(k,) for k in range(40)], "xx_hash bigint").write.parquet(f"{tmp_path}/tags_and_timestamp.parquet")
+    error = lambda: tuple(queries.queries()["p6_error"](spark, str(tmp_path)).first())
+    assert error() == (152, 112, 0, 0.0)
+    real, calls = seen.probe, []
+
+    def claims_9000(batch, index, parts):
+        calls.append(1)
+        return real(batch, index, parts).withColumn("stored", F.col("stored") | ((F.col("key") == 9_000) & F.lit(len(calls) > 1)))
+
+    monkeypatch.setattr(seen, "probe", claims_9000)
+    assert error() == (152, 112, 1, 1 / 112)
