@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +72,23 @@ def distinct_rows(series: DataFrame) -> DataFrame:
     return merged.select("file_id", "timeseries_id", "b.metric", F.map_from_entries("b.entries").alias("tags"), "copies")
 
 
+def once_per_place(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """distinct_rows in which each series of a place stands in one file only.
+
+    Of several chosen files of one place, null or not, the one of largest file_id keeps the series. Rows of a
+    file that gives some away get 0 copies, as its block can't be copied. Other places are left alone.
+    """
+    tied = chosen.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*PLACE))).where("n > 1").select("file_id", *PLACE)
+    if tied.isEmpty():
+        return rows
+    keeper = F.max("file_id").over(Window.partitionBy(*PLACE, "timeseries_id"))
+    given = rows.select("file_id", "timeseries_id").join(tied, "file_id").withColumn("keeper", keeper).where(F.col("file_id") < F.col("keeper"))
+    given = given.select(F.col("file_id").alias("_file"), F.col("timeseries_id").alias("_series"))
+    kept = rows.join(given, (F.col("file_id") == F.col("_file")) & F.col("timeseries_id").eqNullSafe(F.col("_series")), "left_anti")
+    givers = given.select(F.col("_file").alias("file_id")).distinct().withColumn("gives", F.lit(True))
+    return kept.join(givers, "file_id", "left").withColumn("copies", F.when(F.col("gives"), F.lit(0)).otherwise(F.col("copies"))).drop("gives")
+
+
 def encode(table: pa.Table) -> bytes:
     """A tiny segment file: one row group."""
     sink = pa.BufferOutputStream()
@@ -153,10 +170,11 @@ def merge_files(chosen: DataFrame, series: DataFrame, where: str, window_seconds
     chosen: file_id, ns, shard_id, epoch; series: file_id, timeseries_id, metric, tags. Files of one
     namespace, shard and window of epochs go together; where they hold more than target_rows rows they
     are divided over several large files by file, and a file larger than that by series, so that no task
-    holds more than about target_rows rows. Files without rows appear in the manifest with 0 rows.
+    holds more than about target_rows rows. A series stands once for each place, however many chosen files
+    the place has. Files without rows appear in the manifest with 0 rows.
     """
     tiny = series.where(F.col("file_id").isNotNull()).select("file_id", "timeseries_id", "metric", "tags").join(chosen.select("file_id"), "file_id", "left_semi")
-    rows = distinct_rows(tiny)
+    rows = once_per_place(distinct_rows(tiny), chosen)
     sizes = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("file_rows"))
     window = F.col("epoch") - F.pmod(F.col("epoch"), F.lit(window_seconds).cast("bigint"))
     sized = chosen.join(sizes, "file_id", "left").withColumn("file_rows", F.coalesce("file_rows", F.lit(0).cast("bigint"))).withColumn("window", window)

@@ -146,6 +146,17 @@ def test_merge_keeps_every_series_once(spark, tmp_path):
     assert smallfiles.merged_rows(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_files_of_one_place_give_each_series_once(spark, tmp_path):
+    files = [(1, "a", 1, 600, True, 1), (2, "a", 1, 600, True, 1), (3, "a", 1, 600, True, None), (4, "a", 1, 1200, True, 1), (5, None, None, None, True, 1), (6, None, None, None, True, 1)]
+    rows = [(f, i, "m", {"f": str(f)}, "") for f, ids in ((1, (10, 11)), (2, (11, 12, None)), (3, (12, None)), (4, (10, 12)), (5, (7,)), (6, (7,))) for i in ids]
+    chosen, where = _chosen(spark, files, []), f"file://{tmp_path}/out"
+    log = {r.file_id: (r.n_rows, r.copied) for r in smallfiles.merge_files(chosen, spark.createDataFrame(rows, SERIES), where).collect()}
+    got = [(r.ns, r.epoch, r.timeseries_id, r.tags["f"]) for r in smallfiles.merged_rows(spark, where).collect()]
+    want = [("a", 600, 10, "1"), ("a", 600, 11, "2"), ("a", 600, 12, "3"), ("a", 600, None, "3"), ("a", 1200, 10, "4"), ("a", 1200, 12, "4"), (None, None, 7, "6")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert log == {1: (1, False), 2: (1, False), 3: (2, True), 4: (2, True), 5: (0, True), 6: (1, True)}
+
+
 def test_compact_paths(spark, tmp_path):
     for folder in ("x", "y"):
         (tmp_path / "in" / folder).mkdir(parents=True)
