@@ -1,4 +1,4 @@
-"""Series derived from the events table: the input of the reference queries."""
+"""Series derived from the events table, in a store: the input of the reference queries."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from chronofind.functions.routing import shard_of
 from chronofind.operators.catalog import Catalog, tag_keys
 from chronofind.operators.ingest import build_segments, manifest_of
+from chronofind.session import materialise, scratch_path
+from chronofind.sources.store import SegmentStore
 
 FULL, BATCH, SHARDS = 86_400, 7_200, 10
 
@@ -29,10 +31,27 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "t", (F.col("t") - F.col("t") % BATCH).alias("batch"), "metric", tags.alias("tags"), series_id.alias("series_id"))
 
 
-def event_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+def derived_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The catalog computed from the events on every use, without a store."""
     records = event_records(spark, sf_dir)
     series = build_segments(records, SHARDS, FULL)
     # The manifest and the key table don't need the merged rows: a series' id follows from its tags.
     day = F.col("batch") - F.col("batch") % FULL
     placed = records.select(shard_of(F.col("series_id"), SHARDS).alias("shard"), day.alias("segment"), "tags")
     return Catalog(series, manifest_of(placed, FULL), tag_keys(placed))
+
+
+def event_store(spark: SparkSession, sf_dir: str) -> SegmentStore:
+    """The store of all events; written at its first use in a session."""
+    stores = spark.sparkContext.__dict__.setdefault("_chronofind_stores", {})
+    if sf_dir not in stores:
+        store = SegmentStore(spark, scratch_path(spark, "store"))
+        series = materialise(build_segments(event_records(spark, sf_dir), SHARDS, FULL), "built")
+        store.write(series, manifest_of(series, FULL))
+        stores[sf_dir] = store
+    return stores[sf_dir]
+
+
+def event_catalog(spark: SparkSession, sf_dir: str, start: int | None = None, end: int | None = None) -> Catalog:
+    """The stored catalog of the events; of the segments in a time range, if one is given."""
+    return event_store(spark, sf_dir).catalog(start, end)

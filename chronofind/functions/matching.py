@@ -5,16 +5,10 @@ Both are case-insensitive in Unicode; a dot matches anything but a line feed.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from chronofind.errors import QueryError
-
 _FLAGS = "(?iud)"
-_LOOKAROUND = re.compile(r"\(\?(?:[=!]|<[=!])")
-_BACKREF = re.compile(r"(?<!\\)(?:\\\\)*\\(?:[1-9]|k<)")
 
 
 def literal_pattern(text: str) -> str:
@@ -25,15 +19,31 @@ def regex_pattern(text: str) -> str:
     return rf"{_FLAGS}(?:{text})\z"
 
 
-def reject_unsupported(text: str) -> str:
-    """Automaton-based matching knows neither look-around nor back-references."""
-    if _LOOKAROUND.search(text) or _BACKREF.search(text):
-        raise QueryError(f"look-around and back-references aren't supported: {text!r}")
-    return text
+def unsupported(text: str) -> bool:
+    """Whether a pattern needs what automaton-based matching lacks: look-around, back-references, atomic
+    groups, possessive quantifiers or quoted runs."""
+    at, in_class, repeated = 0, False, False
+    while at < len(text):
+        c, after = text[at], text[at + 1 : at + 4]
+        if c == "\\":
+            if after[:1] in tuple("123456789kQEGZ"):
+                return True
+            at += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c == "(" and after.startswith(("?=", "?!", "?>", "?<=", "?<!")) or c == "+" and repeated:
+            return True
+        repeated = c in "*+?}" and not in_class
+        at += 1
+    return False
 
 
 def compiles(text: str) -> bool:
-    """Whether the JVM accepts the pattern."""
+    """Whether the pattern is one of the supported dialect and the JVM accepts it."""
+    if unsupported(text):
+        return False
     jvm = SparkSession.getActiveSession().sparkContext._jvm
     try:
         jvm.java.util.regex.Pattern.compile(regex_pattern(text))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import logging
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 
+_LOG = logging.getLogger("chronofind.metrics")
+
+
 class Reporter(Protocol):
     def count(self, metric: str, value: float, tags: dict[str, str]) -> None: ...
 
@@ -36,6 +43,26 @@ class MemoryReporter:
         self.gauges[metric] = value
 
 
+class LogReporter:
+    """Writes to Python's log."""
+
+    def count(self, metric: str, value: float, tags: dict[str, str]) -> None:
+        _LOG.info("count %s %s %s", metric, value, tags)
+
+    def gauge(self, metric: str, value: float, tags: dict[str, str]) -> None:
+        _LOG.info("gauge %s %s %s", metric, value, tags)
+
+
+@contextmanager
+def timed(reporter: Reporter, metric: str, **tags: str) -> Iterator[None]:
+    """Gauge the milliseconds that the block takes, whether it succeeds or not."""
+    began = time.monotonic()
+    try:
+        yield
+    finally:
+        reporter.gauge(metric, (time.monotonic() - began) * 1000, tags)
+
+
 def observed(df: DataFrame, name: str, **columns: Column) -> tuple[DataFrame, Observation]:
     """df, and aggregates over it that are filled in by the action that runs it anyway."""
     observation = Observation(name)

@@ -40,11 +40,6 @@ def manifest_of(series: DataFrame, duration: int) -> DataFrame:
         F.lit(None).cast("string").alias("merged_segments"))
 
 
-def rejected(records: DataFrame, segment: Column) -> DataFrame:
-    """Records whose batch lies before the given segment start."""
-    return records.where(F.col("batch") < segment)
-
-
 def terms(series: DataFrame) -> DataFrame:
     """shard, segment, field, tag_key, term: the distinct terms of each segment."""
     pairs = series.select("shard", "segment", F.explode("tags").alias("k", "v"))

@@ -72,7 +72,7 @@ def _tag_filters(node: Filter) -> int:
 def _text(obj: dict, name: str) -> str:
     if not isinstance(value := obj.get(name), str):
         raise QueryError(f"filter {obj.get('type')!r} needs the string {name!r}")
-    return m.reject_unsupported(value)
+    return value
 
 
 def parse_filter(obj: object) -> Filter:
@@ -120,7 +120,8 @@ def required_keys(node: Filter) -> list[str]:
 
 
 def always_fails(node: Filter) -> bool:
-    """A chain with an unknown operation or a pattern that doesn't compile fails in every segment."""
+    """A chain with an unknown operation or a pattern that can't be compiled, in the sense of
+    matching.compiles, fails in every segment, so the answer is empty."""
     for n in walk(node):
         if isinstance(n, Chain) and n.op not in ("AND", "OR"):
             return True

@@ -98,7 +98,7 @@ def _add(name: str, query: Query, sql: str) -> None:
 
 def _search(name: str, f: dict, where: str, group: tuple[str, ...] = (), grp: str = "''", start: int = START, end: int = END, compat: bool = True) -> None:
     asked = request(f, group, start=start, end=end)
-    _add(name, lambda spark, d: timeseries.summary(timeseries.search(event_catalog(spark, d), asked, compat)), _sql(where, grp, asked.start, asked.end))
+    _add(name, lambda spark, d: timeseries.summary(timeseries.search(event_catalog(spark, d, asked.start, asked.end), asked, compat)), _sql(where, grp, asked.start, asked.end))
 
 
 _CANARY, _VIP = _HAS.format("canary"), _HAS.format("vip")

@@ -41,8 +41,32 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def filesystem(spark: SparkSession, path: str) -> tuple[object, object]:
+    """(Hadoop file system, Hadoop path) of an address; one without a scheme is the cluster's default one."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The address with the scheme that Spark itself would give it, for readers other than Spark."""
+    fs, hadoop = filesystem(spark, path)
+    return fs.makeQualified(hadoop).toString()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = filesystem(spark, path)
+    return fs.exists(hadoop)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/chronofind/{name}-{uuid.uuid4().hex}"
+    """A new address in this application's part of the shared folder, which is deleted when the driver's JVM ends."""
+    root = f"{shared_dir(spark)}/chronofind/{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_chronofind_scratch", None) != root:
+        fs, hadoop = filesystem(spark, root)
+        fs.mkdirs(hadoop)
+        fs.deleteOnExit(hadoop)
+        spark.sparkContext._chronofind_scratch = root
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -53,11 +77,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by scratch_path."""
+    """Delete a folder made by scratch_path before the end of the application."""
     if "/chronofind/" not in path:
         raise ValueError(f"not a scratch folder: {path}")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    fs, hadoop = filesystem(spark, path)
+    fs.delete(hadoop, True)
 
 
 def local_path(uri: str) -> str:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -115,21 +117,62 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(tags if f.name == "tags" else c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
-def read_objects(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """DECODED rows of every object below path; an empty folder gives none.
+def read_objects(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """DECODED rows of every object below path; an empty folder gives none. With max_files, a stream that
+    takes at most so many objects at once, oldest first.
 
     Damaged records come out with error set and nothing else, so that a caller can count and drop them.
     One task decodes a whole object, as a gzip stream can't be split.
     """
-    reader = spark.readStream if streaming else spark.read
+    reader = spark.read if max_files is None else spark.readStream.option("maxFilesPerTrigger", max_files)
     files = reader.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(_decode_files, DECODED)
 
 
-def valid_records(decoded: DataFrame, batch_depth: int = 2) -> DataFrame:
-    """metric, tags, series_id, seq and batch: the epoch in the folder or file name `batch_depth` levels
-    from the end of the path. Rows with an error, or whose path has no epoch there, are dropped."""
+def dated(decoded: DataFrame, batch_depth: int = 2) -> DataFrame:
+    """metric, tags, series_id, seq, error, and batch: the epoch in the folder or file name `batch_depth`
+    levels from the end of the path, null where there is none."""
     part = F.element_at(F.split("path", "/"), -batch_depth)
     batch = F.regexp_extract(part, r"^(\d{1,18})", 1)
-    return decoded.where(F.col("error").isNull()).select(
-        "metric", "tags", "series_id", "seq", F.when(batch != "", batch).cast("bigint").alias("batch")).where(F.col("batch").isNotNull())
+    return decoded.select("metric", "tags", "series_id", "seq", "error", F.when(batch != "", batch).cast("bigint").alias("batch"))
+
+
+def valid_records(decoded: DataFrame, batch_depth: int = 2) -> DataFrame:
+    """The dated rows without an error and with a batch; streaming.merge_records counts the others."""
+    return dated(decoded, batch_depth).where(F.col("error").isNull() & F.col("batch").isNotNull()).drop("error")
+
+
+def write_objects(records: DataFrame, where: str, name: str = "part") -> DataFrame:
+    """Write records (metric, tags, series_id, batch) as one object for each batch: <where>/<batch>/<name>.gz;
+    gives path, n. The inverse of read_objects, for exports and tests. Rows without id or batch are left out,
+    null texts written as empty. One task writes a batch in order of series_id; a retry replaces the object,
+    which is renamed when complete."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", where))
+        current, out, n, draft = None, None, 0, ""
+
+        def done() -> pa.RecordBatch:
+            out.close()
+            fs.move(draft, f"{root}/{current}/{name}.gz")
+            return pa.RecordBatch.from_pydict({"path": [f"{where}/{current}/{name}.gz"], "n": [n]})
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["batch"] != current:
+                    if out is not None:
+                        yield done()
+                    current, n = row["batch"], 0
+                    fs.create_dir(f"{root}/{current}", recursive=True)
+                    draft = f"{root}/{current}/_{name}.{uuid.uuid4().hex}"
+                    out = gzip.GzipFile(fileobj=fs.open_output_stream(draft, compression=None), mode="wb")
+                record = encode(row["series_id"], row["metric"] or "", {k: v or "" for k, v in row["tags"] or []})
+                out.write(struct.pack(">I", len(record)) + record)
+                n += 1
+        if out is not None:
+            yield done()
+
+    rows = records.select("batch", "series_id", "metric", "tags").where(F.col("batch").isNotNull() & F.col("series_id").isNotNull())
+    return rows.repartition("batch").sortWithinPartitions("batch", "series_id").mapInArrow(run, "path string, n bigint")

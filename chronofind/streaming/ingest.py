@@ -8,25 +8,42 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from chronofind.config import EngineConfig
 from chronofind.functions.timing import floor_to
-from chronofind.metrics import Reporter
+from chronofind.metrics import NoopReporter, Reporter
 from chronofind.operators.ingest import build_segments
 from chronofind.session import drop_scratch, scratch_path
-from chronofind.sources.records import read_objects, valid_records
+from chronofind.sources.records import dated, read_objects
 from chronofind.sources.store import SegmentStore
 
 
-def merge_records(store: SegmentStore, records: DataFrame, config: EngineConfig, version: int | None = None) -> int | None:
-    """Merge records (metric, tags, series_id, batch) into the store. A segment's duration becomes the
-    span from its start to the end of its latest batch. Gives the version, None for an empty batch."""
-    spark = store.spark
+def merge_records(store: SegmentStore, records: DataFrame, config: EngineConfig, version: int | None = None, reporter: Reporter | None = None) -> int | None:
+    """Merge records (metric, tags, series_id, batch, perhaps seq and error) into the store. A segment's
+    duration becomes the span from its start to the end of its latest batch. Gives the version, None where
+    there is nothing to merge.
+
+    Counted and dropped: damaged records (error set), records without id or batch, and records of batches
+    before start_epoch. Counted and merged: late records, of batches before the newest one stored.
+    """
+    spark, reporter = store.spark, reporter or NoopReporter()
     path = scratch_path(spark, "batch")
     order = F.struct("batch", *(["seq"] if "seq" in records.columns else []))
+    damaged = F.col("error").isNotNull() if "error" in records.columns else F.lit(False)
+    placed = F.col("series_id").isNotNull() & F.col("batch").isNotNull()
+    early = F.col("batch") < config.start_epoch
     try:
-        kept = records.where(F.col("series_id").isNotNull() & F.col("batch").isNotNull())
+        records.select("metric", "tags", "series_id", "batch", *(c for c in ("seq",) if c in records.columns), damaged.alias("damaged")).write.parquet(f"{path}/rows")
+        rows = spark.read.parquet(f"{path}/rows")
+        newest = store.manifest().where("committed").agg(F.max(F.col("segment") + F.coalesce("duration", F.lit(0)))).first()[0]
+        late = F.col("batch") + config.batch_seconds < newest if newest is not None else F.lit(False)
+        kept = rows.where(~F.col("damaged") & placed & ~early)
+        counts = rows.agg(
+            F.count(F.lit(1)).alias("records"), F.count_if("damaged").alias("damaged"), F.count_if(~F.col("damaged") & ~placed).alias("unplaced"),
+            F.count_if(~F.col("damaged") & placed & early).alias("rejected"), F.count_if(~F.col("damaged") & placed & ~early & late).alias("late")).first()
+        for name, n in counts.asDict().items():
+            reporter.count(f"ingest.{name}", n, {"namespace": config.namespace})
+        if counts["records"] == counts["damaged"] + counts["unplaced"] + counts["rejected"]:
+            return None
         build_segments(kept, config.shards, config.segment_full_duration, order).write.parquet(f"{path}/series")
         batch = spark.read.parquet(f"{path}/series")
-        if batch.isEmpty():
-            return None
         start = floor_to(F.col("batch"), config.segment_full_duration)
         ends = kept.groupBy(start.alias("segment")).agg((F.max("batch") - F.first(start) + config.batch_seconds).cast("int").alias("duration"))
         touched = batch.select("shard", "segment").distinct().join(ends, "segment").select("shard", "segment", "duration")
@@ -48,7 +65,7 @@ def start(spark: SparkSession, source: DataFrame, store: SegmentStore, config: E
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        version = merge_records(store, batch, config)
+        version = merge_records(store, batch, config, reporter=reporter)
         if reporter:
             reporter.count("ingest.batches", 1, {"batch": str(batch_id), "empty": str(version is None).lower()})
 
@@ -58,9 +75,9 @@ def start(spark: SparkSession, source: DataFrame, store: SegmentStore, config: E
 
 
 def object_stream(spark: SparkSession, config: EngineConfig) -> DataFrame:
-    """Records of binary objects below input_path/namespace, batch epoch taken from the folder name."""
-    path = f"{config.input_path}/{config.namespace}"
-    return valid_records(read_objects(spark, path, streaming=True))
+    """Records of binary objects below input_path/namespace, batch epoch taken from the folder name, damaged
+    ones included for merge_records to count; at most max_files_per_trigger objects in one micro-batch."""
+    return dated(read_objects(spark, f"{config.input_path}/{config.namespace}", config.max_files_per_trigger))
 
 
 def parquet_stream(spark: SparkSession, path: str, schema: str, config: EngineConfig) -> DataFrame:

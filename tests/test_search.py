@@ -102,7 +102,7 @@ def test_need_segments_and_chunks(spark):
 @pytest.mark.parametrize("change", [
     {"type": None}, {"type": "NOPE"}, {"group": None}, {"group": [1]}, {"start": "x"}, {"start": -1}, {"end": None}, {"query": {"type": "x"}}, {"query": 3},
     {"query": {"type": "Chain"}}, {"query": {"type": "Not"}}, {"query": {"type": "MetricLiteral"}}, {"query": {"type": "TagValueRegex", "filter": "a"}},
-    {"type": "METRICS", "limit": None}, {"type": "TAG_KEYS_AND_VALUES", "group": []}, {"query": {"type": "MetricLiteral", "metric": "(?=a)b"}}, {"query": {"type": "MetricLiteral", "metric": r"(a)\1"}},
+    {"type": "METRICS", "limit": None}, {"type": "TAG_KEYS_AND_VALUES", "group": []},
 ])
 def test_malformed_requests(change):
     good = {"from": 0, "to": 1, "limit": 0, "start": S, "end": S, "type": "TIMESERIES", "group": [], "query": metric("a"), "order": "x", "namespace": "y"}
@@ -121,6 +121,11 @@ def test_type_is_case_insensitive_and_bad_pattern_finds_nothing(spark):
     assert parse_filter({"type": "EXPLICITTAGS", "filter": key("a")}) == ExplicitTags(parse_filter(key("a")))
     assert found(catalog(spark, basic()), chain("OR", metric("metric0"), metric("(")), ()) == []
     assert found(catalog(spark, basic()), chain("and", metric("metric0")), ()) == []
+    for pattern in ("(?=m)metric0", r"(m)\1|metric0", "metric0++", "(?>metric0)", r"\Qmetric0\E", "(?<!x)metric0"):
+        assert found(catalog(spark, basic()), metric(pattern), ()) == [], pattern
+        assert found(catalog(spark, basic()), value(pattern, ".*", True), ()) == [], pattern
+    for pattern in (r"metric0|a\++", "metric0|[+*+]", "metric0|a+?", "(?:metric0)", r"metric0|\\+"):
+        assert [r[1] for r in found(catalog(spark, basic()), metric(pattern), ())] == [0], pattern
 
 
 def test_matchers_on_odd_terms(spark):

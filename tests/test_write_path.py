@@ -163,3 +163,118 @@ def test_object_stream(spark, tmp_path):
     streaming.start(spark, streaming.object_stream(spark, config), store, config, f"{tmp_path}/cp", once=True).awaitTermination()
     assert {x.series_id: x.epochs for x in store.catalog().series.collect()} == {k: [S] for k in range(4)}
     assert {x.duration for x in store.manifest().collect()} == {14400}
+
+
+def _days(spark, store, days, ids=3):
+    rows = [(0, S + d * 86400, i, f"m{i}", {"x": str(i)}, [S + d * 86400]) for d in days for i in range(ids)]
+    series = spark.createDataFrame(rows, SERIES)
+    return store.write(series, ingest.manifest_of(series, 86400))
+
+
+def test_only_live_folders_are_opened_and_vacuum_deletes_the_others(spark, tmp_path):
+    from chronofind.sources.objects import ObjectStore
+
+    store, files = SegmentStore(spark, f"file://{tmp_path}/s"), ObjectStore(spark, f"file://{tmp_path}/s/data")
+    first, second = _days(spark, store, range(4)), _days(spark, store, [1, 2], 2)
+    opened = lambda c: {f.split("/data/")[1].rsplit("/", 1)[0] for f in c.series.inputFiles()}
+    folder = lambda v, d: f"version={v}/shard=0/segment={S + d * 86400}"
+    everything = {folder(first, 0), folder(second, 1), folder(second, 2), folder(first, 3)}
+    assert opened(store.catalog()) == everything
+    assert opened(store.catalog(S + 86400, S + 86400)) == {folder(first, 0), folder(second, 1)}
+    assert store.vacuum(3600) == 0 and folder(first, 1) in {"/".join(f.path.split("/")[-4:-1]) for f in files.list_files()}
+    before = sorted(map(tuple, store.catalog().rows.select("segment", "series_id").collect()))
+    assert store.vacuum(0) >= 2
+    assert {"/".join(f.path.split("/")[-4:-1]) for f in files.list_files() if f.path.endswith(".parquet")} == everything
+    assert sorted(map(tuple, store.catalog().rows.select("segment", "series_id").collect())) == before
+    assert {r.tag_key for r in store.catalog().key_table.collect()} == {"x"} and store.manifest().count() == 4
+    third = _days(spark, store, [0, 1, 2, 3])
+    (tmp_path / "s/manifest" / f"{third:020d}" / "_SUCCESS").unlink()
+    assert opened(store.catalog()) == everything
+    _days(spark, store, [0, 1, 2, 3])
+    store.vacuum(0)
+    assert files.list_folders() == sorted(files.list_folders())[-1:]
+
+
+def test_a_large_metric_is_spread_over_tasks(spark, tmp_path):
+    store = SegmentStore(spark, f"file://{tmp_path}/s")
+    series = spark.range(20_000).select(F.lit(0).alias("shard"), F.lit(S).cast("bigint").alias("segment"), F.col("id").alias("series_id"), F.lit("one").alias("metric"),
+                                        F.create_map(F.lit("k"), F.col("id").cast("string")).alias("tags"), F.array(F.lit(S).cast("bigint")).alias("epochs"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.write(series, ingest.manifest_of(series, 86400))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in store.catalog().series.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes) and sum(sizes) == 20_000
+
+
+def test_rollup_in_place_retires_what_it_merged(spark, tmp_path):
+    from chronofind.programs import run_rollup
+
+    store, target = SegmentStore(spark, f"file://{tmp_path}/n"), SegmentStore(spark, f"file://{tmp_path}/t")
+    _days(spark, store, range(16))
+    assert store.rollup(7, S + 60 * 86400, target) and store.rollup(7, S + 60 * 86400, target) and store.rollup(7, S + 60 * 86400, target) is None
+    assert target.catalog().rows.count() == 6 and store.catalog().rows.count() == 48
+    reporter = MemoryReporter()
+    config = EngineConfig(namespace="n", store_path=f"file://{tmp_path}", rollup_size=7)
+    assert run_rollup(spark, config, True, reporter, S + 60 * 86400) == 2
+    assert sorted((r.segment - S) // 86400 for r in store.live()) == [0, 7, 14, 15] and store.catalog().rows.count() == 12
+    assert reporter.gauges["rollup.segment.series"] == 3 and reporter.counts["segment.build.timeseries.count"] == 6 and "rollup.generation.ms" in reporter.gauges
+    with pytest.raises(EngineError):
+        run_rollup(spark, EngineConfig(), True, reporter)
+
+
+def test_object_store_client(spark, tmp_path):
+    from chronofind.sources.objects import ObjectStore
+
+    store = ObjectStore(spark, f"file://{tmp_path}/o")
+    (tmp_path / "x").write_bytes(b"abc")
+    assert store.metadata("a/b") is None and store.list_files("a") == [] and store.list_folders() == []
+    store.upload(str(tmp_path / "x"), "a/b")
+    (tmp_path / "x").write_bytes(b"abcd")
+    store.upload(str(tmp_path / "x"), "a/b")
+    assert store.metadata("a/b").size == 4 and store.list_folders() == ["a"] and [f.size for f in store.list_files()] == [4]
+    store.download("a/b", str(tmp_path / "y"))
+    assert (tmp_path / "y").read_bytes() == b"abcd" and store.delete("a") and not store.delete("a")
+
+
+def test_served_messages(spark, tmp_path):
+    from chronofind.errors import QueryError
+    from chronofind.serving import answer
+
+    store, reporter = SegmentStore(spark, f"file://{tmp_path}/s"), MemoryReporter()
+    _days(spark, store, [0], 5)
+    ask = lambda **kw: {"from": 0, "to": 0, "limit": 0, "start": S, "end": S, "type": "TIMESERIES", "group": ["x"], "query": metric("m.*")} | kw
+    *chunks, last = list(answer(store, ask(), EngineConfig(response_size=2), reporter))
+    assert [len(m.rows) for m in chunks] == [2, 2, 1] and all(m.dictionary is None for m in chunks) and last.rows == [] and last.dictionary == {0: ["0", "1", "2", "3", "4"]}
+    assert reporter.counts["query.rows"] == 5 and reporter.gauges["query.latency"] > 0
+    assert [r.term for m in answer(store, ask(type="METRICS", limit=2)) for r in m.rows] == ["m0", "m1"]
+    for bad in (ask(start=0, end=1), ask(type="?"), "{"):
+        with pytest.raises(QueryError):
+            list(answer(store, bad))
+
+
+def test_programs(spark, tmp_path, capsys):
+    from chronofind.programs import main
+
+    records = spark.createDataFrame([("m", {"h": str(i)}, i, S + (i % 2) * 7200) for i in range(6)] + [(None, None, None, S), ("m", {"h": None}, 9, None)], "metric string, tags map<string,string>, series_id bigint, batch bigint")
+    written = r.write_objects(records, f"file://{tmp_path}/in/ns").collect()
+    assert sorted(x.n for x in written) == [3, 3]
+    (tmp_path / "c.toml").write_text(f'namespace = "ns"\ninput_path = "file://{tmp_path}/in"\nstore_path = "file://{tmp_path}/st"\nstart_epoch = {S}\nmax_files_per_trigger = 1\n')
+    (tmp_path / "q.json").write_text('{"type": "TIMESERIES", "start": %d, "end": %d, "group": ["h"], "query": {"type": "MetricLiteral", "metric": "m"}}' % (S, S))
+    main(["ingest", str(tmp_path / "c.toml"), "--once"])
+    main(["vacuum", str(tmp_path / "c.toml")])
+    main(["query", str(tmp_path / "c.toml"), "--request", str(tmp_path / "q.json")])
+    lines = capsys.readouterr().out.strip().split("\n")
+    assert len(lines) == 2 and all(f'"series_id": {i}' in lines[0] for i in range(6)) and '"dictionary": {' in lines[1]
+
+
+def test_what_ingest_counts(spark, tmp_path):
+    rows = [("m", {}, 1, S + 7200, 0, None), (None, None, None, None, 1, "bad"), ("m", {}, None, S, 2, None), ("m", {}, 2, S - 7200, 3, None), ("m", {}, 3, None, 4, None)]
+    store, reporter = SegmentStore(spark, f"file://{tmp_path}/s"), MemoryReporter()
+    frame = spark.createDataFrame(rows, SCHEMA + ", error string")
+    assert streaming.merge_records(store, frame, EngineConfig(start_epoch=S), reporter=reporter)
+    assert reporter.counts == {"ingest.records": 5, "ingest.damaged": 1, "ingest.unplaced": 2, "ingest.rejected": 1, "ingest.late": 0}
+    assert streaming.merge_records(store, spark.createDataFrame([("m", {}, 1, S, 0)], SCHEMA), EngineConfig(), reporter=reporter) and reporter.counts["ingest.late"] == 1
+    assert {x.series_id: x.epochs for x in store.catalog().rows.collect()} == {1: [S]}
+    assert streaming.merge_records(store, frame.where("error is not null"), EngineConfig(), reporter=reporter) is None
