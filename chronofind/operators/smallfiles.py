@@ -1,16 +1,21 @@
 """Consolidation of many tiny segment files into fewer large ones.
 
-Which files are still to be merged follows from the upload and roll-up logs. Their encoded blocks are
-copied as they are into large Parquet files under new footers; only files with repeated rows are encoded
-again without the repeats. Every large file is read back by its footer before it gets its final name.
+Which files are still to be merged follows from the upload and roll-up logs. A table of contents stands for
+the tiny files, so their objects are written first, once, as their writers would have uploaded them. The
+consolidation then reads objects, from a pack or each from a path of its own, and copies their encoded
+column chunks into one large file under a new footer. Blocks too small to be read well are gathered in a
+second pass: they are joined by copying, checked, and only then decoded and encoded as one block. Every
+large file is read back by its footer before it gets its final name.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -20,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronofind.errors import SegmentError
+from chronofind.session import exists, materialise, qualified, scratch_path
 from chronofind.sources.footers import join_files
 
 PLACE = ["ns", "shard_id", "epoch"]
@@ -33,9 +39,15 @@ CONTENT = T.StructType([
     T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
 ])
 
-#: One row for each source file: where its rows went, and whether its block was copied or encoded again.
-MANIFEST = "file_id bigint, part string, blocks int, n_rows bigint, copied boolean"
+#: Where an object lies: object is its number, part the large file that it goes to.
+OBJECTS = "object bigint, part string, path string, at bigint, size bigint, n_rows bigint, clean boolean"
+#: One row for each source object: where it went, how many blocks of it were copied, and how many rows of
+#: these were then gathered with others. clean: it went as uploaded; not where it had repeats to remove.
+MANIFEST = "object bigint, part string, blocks int, n_rows bigint, clean boolean, gathered bigint, bytes bigint, part_bytes bigint"
 
+#: Size of large files, of packs of objects, and the rows below which a block is gathered with its neighbours.
+TARGET_BYTES, PACK_BYTES, BLOCK_ROWS = 128 << 20, 8 << 20, 65_536
+DAY = 86_400
 
 def named_epoch(entry: Column) -> Column:
     """The epoch that an entry of merged_segments names: a bare number, perhaps with zeros or white space
@@ -64,92 +76,205 @@ def files_to_merge(files: DataFrame, rollups: DataFrame) -> DataFrame:
 
 
 def distinct_rows(series: DataFrame) -> DataFrame:
-    """One row for each file and series, and in how many copies it stood; aggregated map-side, so that a
-    series repeated very often moves as a few rows. Of differing copies the one with the smallest metric,
-    then the smallest tags, stays, nulls last."""
+    """One row for each file and series; aggregated map-side, so that a series repeated very often moves as a
+    few rows. Of differing copies the one with the smallest metric, then the smallest tags, stays, nulls last."""
     order = F.struct(F.col("metric").isNull(), "metric", F.col("tags").isNull(), F.map_entries("tags").alias("entries"))
-    merged = series.groupBy("file_id", "timeseries_id").agg(F.min(order).alias("b"), F.count(F.lit(1)).alias("copies"))
-    return merged.select("file_id", "timeseries_id", "b.metric", F.map_from_entries("b.entries").alias("tags"), "copies")
+    merged = series.groupBy("file_id", "timeseries_id").agg(F.min(order).alias("b"))
+    return merged.select("file_id", "timeseries_id", "b.metric", F.map_from_entries("b.entries").alias("tags"))
 
 
-def once_per_place(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """distinct_rows in which each series of a place stands in one file only.
+def given_away(keys: DataFrame, chosen: DataFrame) -> DataFrame | None:
+    """file_id, timeseries_id of the series that another file of the same place keeps: of several chosen files
+    of one place, null or not, the one of largest file_id. None where no place has several files.
 
-    Of several chosen files of one place, null or not, the one of largest file_id keeps the series. Rows of a
-    file that gives some away get 0 copies, as its block can't be copied. Other places are left alone.
+    keys: file_id, timeseries_id. Only files of places that are tied are looked at, and only their keys.
     """
     tied = chosen.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*PLACE))).where("n > 1").select("file_id", *PLACE)
     if tied.isEmpty():
-        return rows
+        return None
     keeper = F.max("file_id").over(Window.partitionBy(*PLACE, "timeseries_id"))
-    given = rows.select("file_id", "timeseries_id").join(tied, "file_id").withColumn("keeper", keeper).where(F.col("file_id") < F.col("keeper"))
-    given = given.select(F.col("file_id").alias("_file"), F.col("timeseries_id").alias("_series"))
-    kept = rows.join(given, (F.col("file_id") == F.col("_file")) & F.col("timeseries_id").eqNullSafe(F.col("_series")), "left_anti")
-    givers = given.select(F.col("_file").alias("file_id")).distinct().withColumn("gives", F.lit(True))
-    return kept.join(givers, "file_id", "left").withColumn("copies", F.when(F.col("gives"), F.lit(0)).otherwise(F.col("copies"))).drop("gives")
+    return keys.join(tied, "file_id").withColumn("keeper", keeper).where(F.col("file_id") < F.col("keeper")).select("file_id", "timeseries_id")
 
 
-def encode(table: pa.Table) -> bytes:
-    """A tiny segment file: one row group."""
+def placements(chosen: DataFrame, sizes: DataFrame, target_bytes: int) -> DataFrame:
+    """chosen with its part: files of one namespace and shard, in order of their days until they hold
+    target_bytes; a day that holds more is divided by file, and a file that holds more by series (pieces).
+
+    sizes: file_id, n_series, bytes. What is ordered are the sums by day, not the files.
+    """
+    target = F.lit(target_bytes).cast("bigint")
+    day = F.col("epoch") - F.pmod(F.col("epoch"), F.lit(DAY).cast("bigint"))
+    sized = chosen.join(sizes, "file_id", "left").withColumns({"bytes": F.coalesce("bytes", F.lit(0).cast("bigint")), "day": day})
+    days = sized.groupBy("ns", "shard_id", "day").agg(F.sum("bytes").alias("day_bytes"))
+    before = F.sum("day_bytes").over(Window.partitionBy("ns", "shard_id").orderBy("day")) - F.col("day_bytes")
+    days = days.select(F.col("ns").alias("_ns"), F.col("shard_id").alias("_shard"), F.col("day").alias("_day"), F.expr("day_bytes").alias("_bytes"), F.floor(before / target).alias("_run"))
+    same = F.col("ns").eqNullSafe(F.col("_ns")) & F.col("shard_id").eqNullSafe(F.col("_shard")) & F.col("day").eqNullSafe(F.col("_day"))
+    slots = F.ceil(F.greatest("_bytes", target) / target).cast("bigint")
+    placed = sized.join(days, same)
+    # A divided day stands alone, so that its slots don't mix with its neighbours.
+    own = F.struct("ns", "shard_id", F.when(slots > 1, F.col("day")).alias("day"), F.when(slots == 1, F.col("_run")).alias("run"), F.pmod(F.xxhash64("file_id"), slots).alias("slot"))
+    return placed.select("file_id", *PLACE, "bytes", F.col("n_series").alias("rows"), F.to_json(own).alias("group"), F.ceil(F.greatest("bytes", target) / target).cast("bigint").alias("pieces"))
+
+
+def encode(table: pa.Table, dictionary: bool = False) -> bytes:
+    """A segment file of one row group; tiny ones are written without dictionaries."""
     sink = pa.BufferOutputStream()
-    pq.write_table(table, sink, use_dictionary=False, compression="snappy", write_statistics=["epoch", "timeseries_id"], store_schema=False)
+    pq.write_table(table, sink, row_group_size=max(1, len(table)), use_dictionary=dictionary, compression="snappy", write_statistics=["epoch", "timeseries_id"], store_schema=False)
     return sink.getvalue().to_pybytes()
 
 
-def _write(where: str, part: str, contents: list[bytes], rows: int) -> int:
-    """Join, check and publish one large file; a retried task replaces it by an equal one."""
-    joined = join_files(contents)
-    meta = pq.ParquetFile(io.BytesIO(joined.content)).metadata
-    if (meta.num_rows, meta.num_row_groups) != (rows, joined.blocks) or joined.rows != rows:
-        raise SegmentError(f"{part}: {meta.num_rows} rows in {meta.num_row_groups} blocks, not {rows}")
+def _folder(where: str) -> tuple[pafs.FileSystem, str]:
     # Spark's names of the object store are the same file system to Arrow.
-    fs, root = pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", where))
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", where))
+
+
+def _publish(where: str, name: str, content: bytes) -> None:
+    """Write a file, then give it its name; a retried task replaces it by an equal one."""
+    fs, root = _folder(where)
     fs.create_dir(root, recursive=True)
-    draft = f"{root}/_{part}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(draft) as out:
-        out.write(joined.content)
-    fs.move(draft, f"{root}/{part}.parquet")
-    return joined.blocks
+    draft = f"{root}/_{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(draft, compression=None) as out:
+        out.write(content)
+    fs.move(draft, f"{root}/{name}")
+
+
+def _rows_of(content: bytes) -> tuple[int, int]:
+    meta = pq.ParquetFile(io.BytesIO(content)).metadata
+    return meta.num_rows, meta.num_row_groups
+
+
+def join_objects(contents: list[bytes], rows: list[int | None], block_rows: int) -> tuple[bytes, list[tuple[int, int]], list[int]]:
+    """(one file, blocks and rows of each object, rows of each that were gathered) of objects of one schema.
+
+    rows: how many each should hold, where that is known. Blocks are copied as they are. Runs of objects of
+    fewer than block_rows rows are copied together, checked, then decoded and encoded as blocks of about
+    block_rows rows.
+    """
+    counts = [n if n is not None else _rows_of(c)[0] for n, c in zip(rows, contents, strict=True)]
+    ready: list[bytes] = []
+    each: list[tuple[int, int]] = [(0, 0)] * len(contents)
+    gathered = [0] * len(contents)
+    runs: list[list[int]] = [[]]
+    held = 0
+    for i, n in enumerate(counts):
+        if n >= block_rows:
+            runs += [[i], []]
+            held = 0
+            continue
+        runs[-1].append(i)
+        held += n
+        if held >= block_rows:
+            runs.append([])
+            held = 0
+    for run in filter(None, runs):
+        joined = join_files([contents[i] for i in run])
+        for i, found in zip(run, joined.each, strict=True):
+            each[i] = found
+            if found[1] != counts[i]:
+                raise SegmentError(f"an object holds {found[1]} rows, not {counts[i]}")
+        if len(run) == 1 or joined.blocks < 2:
+            ready.append(joined.content)
+            continue
+        table = pq.read_table(io.BytesIO(joined.content))
+        if len(table) != joined.rows:
+            raise SegmentError(f"{len(table)} rows, not {joined.rows}")
+        ready.append(encode(table, dictionary=True))
+        for i in run:
+            gathered[i] = counts[i]
+    whole = ready[0] if len(ready) == 1 else join_files(ready).content
+    if _rows_of(whole)[0] != sum(counts):
+        raise SegmentError("the large file doesn't hold the rows of its sources")
+    return whole, each, gathered
+
+
+def _contents(rows: list[dict]) -> list[bytes]:
+    """The bytes of the objects of one path, which is read once from the first to the last of them."""
+    fs, at = _folder(rows[0]["path"])
+    low, high = rows[0]["at"], max(r["at"] + r["size"] for r in rows)
+    with fs.open_input_file(at) as f:
+        run = memoryview(f.read_at(high - low, low))
+    if len(run) != high - low:
+        raise SegmentError(f"{rows[0]['path']} ends early")
+    return [bytes(run[r["at"] - low : r["at"] - low + r["size"]]) for r in rows]
+
+
+def _merger(where: str, block_rows: int):
+    """mapInArrow function over OBJECTS sorted by part, path and place: publishes each part's large file."""
+
+    def finish(part: str, rows: list[dict]) -> pa.RecordBatch:
+        contents = [c for _, same in groupby(rows, key=lambda r: r["path"]) for c in _contents(list(same))]
+        content, each, gathered = join_objects(contents, [r["n_rows"] for r in rows], block_rows)
+        _publish(where, f"{part}.parquet", content)
+        n = len(rows)
+        return pa.RecordBatch.from_arrays([
+            pa.array([r["object"] for r in rows], pa.int64()), pa.array([part] * n, pa.string()), pa.array([b for b, _ in each], pa.int32()), pa.array([k for _, k in each], pa.int64()),
+            pa.array([r["clean"] for r in rows], pa.bool_()), pa.array(gathered, pa.int64()), pa.array([r["size"] for r in rows], pa.int64()), pa.array([len(content)] * n, pa.int64())],
+            names=["object", "part", "blocks", "n_rows", "clean", "gathered", "bytes", "part_bytes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["part"] != held[-1]["part"]:
+                    yield finish(held[0]["part"], held)
+                    held = []
+                held.append(row)
+        if held:
+            yield finish(held[0]["part"], held)
+
+    return run
+
+
+def _spread(df: DataFrame, by: str) -> DataFrame:
+    """Hash partitions in a number that adaptive execution keeps: a few bytes of index stand for much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
 
 
-def _merger(where: str):
-    """mapInArrow function over rows sorted by part, file and series."""
+def merge_objects(objects: DataFrame, where: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Join the objects (OBJECTS) of each part into one large file below `where`; gives MANIFEST. Contents are
+    read where they lie and aren't shuffled; one task holds the objects of one large file."""
+    ordered = _spread(objects, "part").sortWithinPartitions("part", "path", "at")
+    return ordered.mapInArrow(_merger(where, block_rows), MANIFEST)
+
+
+def _packer(where: str):
+    """mapInArrow function over rows sorted by pack and file: writes each file's rows as an object, the objects
+    of a pack one behind the other; gives OBJECTS. Rows of a file beyond the first of a series are dropped."""
     schema = pa.schema([("ns", pa.string()), ("shard_id", pa.int32()), ("epoch", pa.int64()), ("timeseries_id", pa.int64()),
                         ("metric", pa.string()), ("tags", pa.map_(pa.string(), pa.string()))])
 
-    def finish(part: str, table: pa.Table) -> pa.RecordBatch:
+    def finish(pack: str, table: pa.Table) -> pa.RecordBatch:
         ids = table.column("file_id").combine_chunks()
         ends = _boundaries(ids)
-        contents, log, total = [], [], 0
-        copies, present = table.column("copies").to_pylist(), table.column("present").to_pylist()
+        starts = [0, *ends]
         body = table.select(schema.names).cast(schema)
-        for start, end in zip([0, *ends], [*ends, len(ids)], strict=True):
-            rows = end - start if present[start] else 0
-            clean = all(c == 1 for c in copies[start:end] if c is not None)
-            if rows:
-                contents.append(encode(body.slice(start, rows)))
-            total += rows
-            log.append((ids[start].as_py(), part, int(rows > 0), rows, clean))
-        if contents and _write(where, part, contents, total) != len(contents):
-            raise SegmentError(f"{part}: blocks are missing")
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*log, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_()), strict=True)],
-                                          names=["file_id", "part", "blocks", "n_rows", "copied"])
+        parts, clean = table.column("part").take(starts), table.column("clean").take(starts)
+        contents = [encode(body.slice(a, b - a)) for a, b in zip(starts, [*ends, len(ids)], strict=True)]
+        name = hashlib.md5(pack.encode()).hexdigest() + ".pack"
+        _publish(where, name, b"".join(contents))
+        sizes = [len(c) for c in contents]
+        at = [0]
+        for size in sizes[:-1]:
+            at.append(at[-1] + size)
+        return pa.RecordBatch.from_arrays([
+            ids.take(pa.array(starts)), parts.combine_chunks(), pa.array([f"{where}/{name}"] * len(starts), pa.string()), pa.array(at, pa.int64()), pa.array(sizes, pa.int64()),
+            pa.array([b - a for a, b in zip(starts, [*ends, len(ids)], strict=True)], pa.int64()), clean.combine_chunks()], names=["object", "part", "path", "at", "size", "n_rows", "clean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         current = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            parts = table.column("part").combine_chunks()
+            packs = table.column("pack").combine_chunks()
             start = 0
-            for end in [*_boundaries(parts), len(parts)]:
+            for end in [*_boundaries(packs), len(packs)]:
                 if end == start:
                     continue
-                part = parts[start].as_py()
-                if part != current and held:
+                pack = packs[start].as_py()
+                if pack != current and held:
                     yield finish(current, pa.concat_tables(held))
                     held = []
-                current = part
+                current = pack
                 held.append(table.slice(start, end - start))
                 start = end
         if held:
@@ -164,74 +289,84 @@ def _boundaries(column: pa.Array) -> list[int]:
     return [int(i) + 1 for i in (codes[1:] != codes[:-1]).nonzero()[0]]
 
 
-def merge_files(chosen: DataFrame, series: DataFrame, where: str, window_seconds: int = 86_400, target_rows: int = 20_000) -> DataFrame:
-    """Merge the chosen files' rows into large files below `where`; gives MANIFEST.
+def uploaded_objects(chosen: DataFrame, series: DataFrame, where: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """The objects of the chosen files (OBJECTS, object being the file_id), written below `where` in packs of
+    about PACK_BYTES. Files without rows have none.
 
-    chosen: file_id, ns, shard_id, epoch; series: file_id, timeseries_id, metric, tags. Files of one
-    namespace, shard and window of epochs go together; where they hold more than target_rows rows they
-    are divided over several large files by file, and a file larger than that by series, so that no task
-    holds more than about target_rows rows. A series stands once for each place, however many chosen files
-    the place has. Files without rows appear in the manifest with 0 rows.
+    chosen: file_id, ns, shard_id, epoch; series: file_id, timeseries_id, metric, tags. Placement follows from
+    keys and sizes; contents then move once, to their pack. Files with repeated series, or of which another
+    file of the place keeps a series, are reduced before they move and come out not clean.
     """
-    tiny = series.where(F.col("file_id").isNotNull()).select("file_id", "timeseries_id", "metric", "tags").join(chosen.select("file_id"), "file_id", "left_semi")
-    rows = once_per_place(distinct_rows(tiny), chosen)
-    sizes = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("file_rows"))
-    window = F.col("epoch") - F.pmod(F.col("epoch"), F.lit(window_seconds).cast("bigint"))
-    sized = chosen.join(sizes, "file_id", "left").withColumn("file_rows", F.coalesce("file_rows", F.lit(0).cast("bigint"))).withColumn("window", window)
-    groups = sized.groupBy("ns", "shard_id", "window").agg(F.sum("file_rows").alias("group_rows")).select(
-        F.col("ns").alias("_ns"), F.col("shard_id").alias("_shard"), F.col("window").alias("_window"), "group_rows")
-    same = F.col("ns").eqNullSafe(F.col("_ns")) & F.col("shard_id").eqNullSafe(F.col("_shard")) & F.col("window").eqNullSafe(F.col("_window"))
-    target = F.lit(target_rows).cast("bigint")
-    placed = sized.join(groups, same).select(
-        "file_id", *PLACE, "window", F.pmod(F.xxhash64("file_id"), F.ceil(F.greatest("group_rows", target) / target)).alias("slot"),
-        F.ceil(F.greatest("file_rows", target) / target).cast("bigint").alias("pieces"))
-    full = placed.join(rows.withColumn("present", F.lit(True)), "file_id", "left").select(
-        "file_id", *PLACE, "timeseries_id", "metric", "tags", "copies", F.coalesce("present", F.lit(False)).alias("present"),
-        F.md5(F.to_json(F.struct("ns", "shard_id", "window", "slot", F.pmod(F.xxhash64("timeseries_id"), F.col("pieces")).alias("piece")))).alias("part"))
-    settled = full.repartition("part").sortWithinPartitions("part", "epoch", "file_id", "timeseries_id")
-    return settled.mapInArrow(_merger(where), MANIFEST).groupBy("file_id").agg(
-        F.min("part").alias("part"), F.sum("blocks").cast("int").alias("blocks"), F.sum("n_rows").alias("n_rows"), F.min("copied").alias("copied"))
+    spark = chosen.sparkSession
+    tiny = series.where(F.col("file_id").isNotNull()).select("file_id", "timeseries_id", "metric", "tags")
+    text = F.coalesce(F.octet_length("metric"), F.lit(0)) + F.coalesce(F.aggregate(F.map_entries("tags"), F.lit(0), lambda n, e: n + F.octet_length(e["key"]) + F.coalesce(F.octet_length(e["value"]), F.lit(0))), F.lit(0))
+    keys = tiny.select("file_id", "timeseries_id", text.alias("text")).join(chosen.select("file_id"), "file_id", "left_semi")
+    keys = keys.groupBy("file_id", "timeseries_id").agg(F.count(F.lit(1)).alias("copies"), F.max("text").alias("text"))
+    keys = materialise(keys, "p7-keys")
+    away = given_away(keys.select("file_id", "timeseries_id"), chosen)
+    if away is not None:
+        away = materialise(away, "p7-away")
+        out = away.select(F.col("file_id").alias("_file"), F.col("timeseries_id").alias("_series"))
+        named = (F.col("file_id") == F.col("_file")) & F.col("timeseries_id").eqNullSafe(F.col("_series"))
+        givers = away.select("file_id").distinct().withColumn("gives", F.lit(True))
+    sizes = keys.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_series"), F.sum(F.col("text") + 32).alias("bytes"), F.max("copies").alias("copies"))
+    placed = placements(chosen, sizes.select("file_id", "n_series", "bytes"), target_bytes).where(F.col("rows") > 0)
+    placed = placed.join(sizes.select("file_id", (F.col("copies") == 1).alias("clean")), "file_id")
+    if away is not None:
+        placed = placed.join(givers, "file_id", "left").withColumn("clean", F.col("clean") & F.col("gives").isNull()).drop("gives")
+    placed = materialise(placed.select("file_id", *PLACE, "group", "pieces", "clean", "bytes"), "p7-placed")
+    whole = tiny.join(placed.where("clean"), "file_id")
+    reduced = tiny.join(placed.where("not clean").select("file_id"), "file_id", "left_semi")
+    reduced = distinct_rows(reduced if away is None else reduced.join(out, named, "left_anti"))
+    rows = whole.unionByName(reduced.join(placed.where("not clean"), "file_id"))
+    piece = F.pmod(F.xxhash64("timeseries_id"), F.col("pieces"))
+    group_bytes = placed.groupBy("group").agg(F.sum("bytes").alias("group_bytes"))
+    packs = F.ceil(F.greatest(F.col("group_bytes") / F.col("pieces"), F.lit(1.0)) / PACK_BYTES).cast("bigint")
+    rows = rows.join(group_bytes, "group").withColumn("part", F.md5(F.concat_ws("/", "group", piece.cast("string"))))
+    rows = rows.withColumn("pack", F.concat_ws("/", "part", F.pmod(F.xxhash64("file_id", F.lit("pack")), packs).cast("string")))
+    settled = rows.select("pack", "part", "file_id", *PLACE, "timeseries_id", "metric", "tags", "clean")
+    settled = _spread(settled, "pack").sortWithinPartitions("pack", "epoch", "file_id", "timeseries_id")
+    return materialise(settled.mapInArrow(_packer(qualified(spark, where)), OBJECTS), "p7-objects")
+
+
+def merge_files(chosen: DataFrame, series: DataFrame, where: str, target_bytes: int = TARGET_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Merge the chosen files' rows into large files of about target_bytes below `where`; gives file_id, parts,
+    blocks copied, n_rows, clean, gathered rows and bytes of every chosen file.
+
+    A series stands once for each place, however many chosen files the place has. Files without rows, or whose
+    rows another file keeps, have 0 blocks and rows, and are clean if they had no repeats.
+    """
+    objects = uploaded_objects(chosen, series, scratch_path(chosen.sparkSession, "p7-packs"), target_bytes)
+    log = materialise(merge_objects(objects, qualified(chosen.sparkSession, where), block_rows), "p7-log")
+    done = log.groupBy(F.col("object").alias("file_id")).agg(
+        F.count(F.lit(1)).cast("int").alias("parts"), F.sum("blocks").cast("int").alias("blocks"), F.sum("n_rows").alias("n_rows"), F.min("clean").alias("clean"),
+        F.sum("gathered").alias("gathered"), F.sum("bytes").alias("bytes"))
+    none = {"parts": 0, "blocks": 0, "n_rows": 0, "clean": True, "gathered": 0, "bytes": 0}
+    return chosen.select("file_id").join(done, "file_id", "left").fillna(none)
 
 
 def merged_rows(spark: SparkSession, where: str) -> DataFrame:
     """Rows of the large files; CONTENT without rows where none was written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, where):
         return spark.createDataFrame([], CONTENT)
     return spark.read.schema(CONTENT).parquet(where)
 
 
-def compact_paths(spark: SparkSession, sources: str, where: str, target_bytes: int = 128 << 20) -> DataFrame:
-    """Join the Parquet files below `sources`, in order of their paths, into files of about target_bytes;
-    gives path, part, blocks, n_rows. Nothing is decoded; files of one folder must share a schema.
+def compact_paths(spark: SparkSession, sources: str, where: str, target_bytes: int = TARGET_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Join the Parquet files below `sources` into files of about target_bytes; gives path, part, blocks,
+    n_rows, gathered, bytes, part_bytes. Files of one folder must share a schema.
 
-    Sources are grouped by folder and, within it, by slices of their number; one task holds the bytes of
-    one large file. An empty folder gives no rows.
+    A folder's files are divided by hash of their path over as many large files as its bytes need, and stand
+    there in order of their paths. Only paths and sizes are shuffled; the task that joins them reads the
+    files. An empty folder gives no rows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(sources)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(sources).select("path", "length")
     folder = F.regexp_replace("path", r"/[^/]*$", "")
-    sizes = files.groupBy(folder.alias("folder")).agg(F.sum("length").alias("folder_bytes"))
+    listed = materialise(files.select("path", "length", folder.alias("folder"), F.xxhash64("path").alias("object")), "p7-listed")
+    sizes = listed.groupBy("folder").agg(F.sum("length").alias("folder_bytes"))
     slots = F.ceil(F.greatest("folder_bytes", F.lit(target_bytes).cast("bigint")) / F.lit(target_bytes)).cast("bigint")
-    listed = files.select("path", folder.alias("folder"), "content").join(sizes, "folder")
-    keyed = listed.select("path", "content", F.md5(F.concat_ws("/", "folder", F.pmod(F.xxhash64("path"), slots).cast("string"))).alias("part"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, bytes]] = []
-        current = None
-        for batch in batches:
-            for part, path, content in zip(batch["part"].to_pylist(), batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                if part != current and held:
-                    yield done(current, held)
-                    held = []
-                current = part
-                held.append((path, content))
-        if held:
-            yield done(current, held)
-
-    def done(part: str, held: list[tuple[str, bytes]]) -> pa.RecordBatch:
-        metas = [pq.ParquetFile(io.BytesIO(c)).metadata for _, c in held]
-        _write(where, part, [c for _, c in held], sum(m.num_rows for m in metas))
-        return pa.RecordBatch.from_pydict({
-            "path": [p for p, _ in held], "part": [part] * len(held), "blocks": pa.array([m.num_row_groups for m in metas], pa.int32()), "n_rows": [m.num_rows for m in metas]})
-
-    return keyed.repartition("part").sortWithinPartitions("part", "path").mapInArrow(run, "path string, part string, blocks int, n_rows bigint")
+    part = F.md5(F.concat_ws("/", "folder", F.pmod("object", slots).cast("string")))
+    objects = listed.join(sizes, "folder").select(
+        "object", part.alias("part"), "path", F.lit(0).cast("bigint").alias("at"), F.col("length").alias("size"), F.lit(None).cast("bigint").alias("n_rows"), F.lit(True).alias("clean"))
+    log = materialise(merge_objects(objects, qualified(spark, where), block_rows), "p7-log")
+    return listed.select("path", "object").join(log, "object").drop("object", "clean")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronofind.functions.tokens import COUNTED, counted, metric_and_tags
 from chronofind.operators import skew, smallfiles
 from chronofind.session import materialise, scratch_path
+from chronofind.sources.objects import ObjectStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,8 +68,7 @@ def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     chosen = smallfiles.files_to_merge(_table(spark, sf_dir, "segment_files"), _table(spark, sf_dir, "rolled_segments"))
     chosen = materialise(chosen, "p7-chosen")
     where = scratch_path(spark, "p7-segments")
-    where = where if ":" in where else f"file://{where}"
-    return materialise(smallfiles.merge_files(chosen, _table(spark, sf_dir, "timeseries"), where), "p7-manifest"), where
+    return smallfiles.merge_files(chosen, _table(spark, sf_dir, "timeseries"), where), where
 
 
 def merged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,11 +80,35 @@ def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compaction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the consolidation did: files in, files with rows, blocks copied and encoded again, rows."""
+    """What the consolidation did: files in, files with rows, objects whose bytes were copied as uploaded, files
+    whose repeats were removed first, and rows."""
     done = _merged(spark, sf_dir)[0]
     return done.agg(
         F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("n_rows") > 0).alias("n_files_with_rows"),
-        F.count_if(F.col("copied") & (F.col("n_rows") > 0)).alias("n_copied"), F.count_if(~F.col("copied")).alias("n_encoded_again"), F.sum("n_rows").alias("n_rows"))
+        F.count_if(F.col("clean") & (F.col("n_rows") > 0)).alias("n_copied"), F.count_if(~F.col("clean")).alias("n_reduced"), F.sum("n_rows").alias("n_rows"))
+
+
+def compaction_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the objects and of the large files, number and median of these, and the share of rows that the
+    second pass gathered into larger blocks."""
+    done, where = _merged(spark, sf_dir)
+    sizes = [(f.size,) for f in ObjectStore(spark, where).list_files() if f.path.endswith(".parquet")]
+    files = spark.createDataFrame(sizes, "size bigint").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("size").alias("part_bytes"), F.median("size").alias("median_bytes"))
+    copied = done.agg(F.sum("blocks").alias("blocks_copied"), F.sum("bytes").alias("object_bytes"), (F.sum("gathered") / F.sum("n_rows")).alias("share_gathered"))
+    return copied.join(files)
+
+
+def compacted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ns, shard_id, n_files, n_rows: the small files that a job partitioned by day left, joined by copying and
+    read back; n_files counts the large files of each folder."""
+    tiny, where = scratch_path(spark, "p7-tiny"), scratch_path(spark, "p7-joined")
+    day = (F.col("epoch") - F.pmod(F.col("epoch"), F.lit(smallfiles.DAY))).alias("day")
+    rows = _table(spark, sf_dir, "timeseries").where("ns is not null and shard_id is not null")
+    rows.select("ns", "shard_id", "epoch", "timeseries_id", "metric", "tags", F.col("ns").alias("_ns"), F.col("shard_id").alias("_shard"), day).repartition("ns", "shard_id", "day").write.partitionBy("_ns", "_shard").option(
+        "maxRecordsPerFile", 2_000).parquet(tiny)
+    smallfiles.compact_paths(spark, tiny, where).write.format("noop").mode("overwrite").save()
+    joined = smallfiles.merged_rows(spark, where).withColumn("_file", F.input_file_name())
+    return joined.groupBy("ns", "shard_id").agg(F.count_distinct("_file").alias("n_files"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("timeseries_id").alias("n_series"))
 
 
 _ITEMS = """
@@ -107,6 +131,8 @@ def queries() -> dict[str, Query]:
         "p7_found": merged_files,
         "p7_segments": merged_segments,
         "p7_report": compaction_report,
+        "p7_sizes": compaction_sizes,
+        "p7_paths": compacted_paths,
     }
 
 
@@ -121,5 +147,6 @@ def oracle_sql() -> dict[str, str]:
         "p7_segments": f"WITH {_TO_MERGE} SELECT DISTINCT d.ns, d.shard_id, d.epoch, t.timeseries_id FROM todo d JOIN timeseries t USING (file_id)",
         "p7_report": f"""WITH {_TO_MERGE}, r AS (SELECT d.file_id, count(DISTINCT t.timeseries_id) AS n, count(t.timeseries_id) AS all_n FROM todo d LEFT JOIN timeseries t USING (file_id) GROUP BY 1)
             SELECT count(*) AS n_files, count(*) FILTER (n > 0) AS n_files_with_rows, count(*) FILTER (n > 0 AND n = all_n) AS n_copied,
-            count(*) FILTER (n <> all_n) AS n_encoded_again, CAST(sum(n) AS BIGINT) AS n_rows FROM r""",
+            count(*) FILTER (n <> all_n) AS n_reduced, CAST(sum(n) AS BIGINT) AS n_rows FROM r""",
+        "p7_paths": """SELECT ns, shard_id, CAST(1 AS BIGINT) AS n_files, count(*) AS n_rows, count(DISTINCT timeseries_id) AS n_series FROM timeseries WHERE ns IS NOT NULL AND shard_id IS NOT NULL GROUP BY 1, 2""",
     }

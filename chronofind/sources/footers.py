@@ -274,9 +274,12 @@ def _decoded(group: Struct, content: bytes, put: int) -> tuple[bytes, bytes, int
 
 @dataclass
 class Joined:
+    """each: (blocks, rows) of every source."""
+
     content: bytes
     blocks: int
     rows: int
+    each: list[tuple[int, int]]
 
 
 def join_files(contents: list[bytes]) -> Joined:
@@ -291,7 +294,7 @@ def join_files(contents: list[bytes]) -> Joined:
     wanted = schema_bytes(first)
     # Files of one writer begin their footers alike, up to the end of the schema.
     lead = _struct({k: v for k, v in first.items() if k <= _META_SCHEMA})[:-1]
-    out, groups, rows = bytearray(MAGIC), [], 0
+    out, groups, rows, each = bytearray(MAGIC), [], 0, []
     for content in contents:
         if len(content) < 12 or content[:4] != MAGIC or content[-4:] != MAGIC:
             raise SegmentError("not a plain Parquet file")
@@ -332,8 +335,9 @@ def join_files(contents: list[bytes]) -> Joined:
         if seen != declared:
             raise SegmentError("row groups and footer disagree on the number of rows")
         rows += seen
+        each.append((len(added), seen))
     head = bytes([len(groups) << 4 | _STRUCT]) if len(groups) < 15 else bytes([0xF0 | _STRUCT]) + _varint(len(groups))
     # Field numbers are written as steps, so the fields behind the row groups are numbered from there.
     rest = _struct({k - _META_GROUPS: v for k, v in first.items() if k > _META_GROUPS})
     end = lead + bytes([1 << 4 | _I64]) + _zigzag(rows) + bytes([1 << 4 | _LIST]) + head + b"".join(groups) + rest
-    return Joined(bytes(out) + end + struct.pack("<I", len(end)) + MAGIC, len(groups), rows)
+    return Joined(bytes(out) + end + struct.pack("<I", len(end)) + MAGIC, len(groups), rows, each)

@@ -135,10 +135,11 @@ def test_merge_keeps_every_series_once(spark, tmp_path):
     rng = random.Random(5)
     rows = [(f[0], rng.randrange(6), rng.choice(["m", None]), rng.choice([{"k": "v"}, {"k": "w"}, None]), "clash") for f in files if f[0] % 7 for _ in range(8)] + [(99, None, None, None, None)] + [(1, 5, "m", None, None)] * 300 + [(12345, 1, "m", {}, "")]
     chosen, where = _chosen(spark, files, []), f"file://{tmp_path}/out"
-    log = smallfiles.merge_files(chosen, spark.createDataFrame(rows, SERIES), where, target_rows=40).collect()
+    log = smallfiles.merge_files(chosen, spark.createDataFrame(rows, SERIES), where, target_bytes=2000, block_rows=20).collect()
     want = {(f[0], r[1]) for f in files for r in rows if r[0] == f[0]}
     assert {r.file_id for r in log} == {f[0] for f in files} and sum(r.n_rows for r in log) == len(want)
-    assert {r.file_id for r in log if r.n_rows == 0} == {7, 14, 21, 28} and not next(r for r in log if r.file_id == 1).copied
+    assert {r.file_id for r in log if r.n_rows == 0} == {7, 14, 21, 28} and not next(r for r in log if r.file_id == 1).clean
+    assert all(r.blocks >= 1 and r.gathered <= r.n_rows for r in log if r.n_rows) and sum(r.gathered for r in log) > 0
     got = smallfiles.merged_rows(spark, where)
     keys = [(r.epoch // 600 if r.epoch else 99, r.timeseries_id) for r in got.collect()]
     assert sorted(keys, key=str) == sorted(want, key=str)
@@ -150,11 +151,15 @@ def test_files_of_one_place_give_each_series_once(spark, tmp_path):
     files = [(1, "a", 1, 600, True, 1), (2, "a", 1, 600, True, 1), (3, "a", 1, 600, True, None), (4, "a", 1, 1200, True, 1), (5, None, None, None, True, 1), (6, None, None, None, True, 1)]
     rows = [(f, i, "m", {"f": str(f)}, "") for f, ids in ((1, (10, 11)), (2, (11, 12, None)), (3, (12, None)), (4, (10, 12)), (5, (7,)), (6, (7,))) for i in ids]
     chosen, where = _chosen(spark, files, []), f"file://{tmp_path}/out"
-    log = {r.file_id: (r.n_rows, r.copied) for r in smallfiles.merge_files(chosen, spark.createDataFrame(rows, SERIES), where).collect()}
+    log = {r.file_id: (r.n_rows, r.clean) for r in smallfiles.merge_files(chosen, spark.createDataFrame(rows, SERIES), where).collect()}
     got = [(r.ns, r.epoch, r.timeseries_id, r.tags["f"]) for r in smallfiles.merged_rows(spark, where).collect()]
     want = [("a", 600, 10, "1"), ("a", 600, 11, "2"), ("a", 600, 12, "3"), ("a", 600, None, "3"), ("a", 1200, 10, "4"), ("a", 1200, 12, "4"), (None, None, 7, "6")]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert log == {1: (1, False), 2: (1, False), 3: (2, True), 4: (2, True), 5: (0, True), 6: (1, True)}
+    one = smallfiles.merge_files(chosen, spark.createDataFrame(rows, SERIES), f"file://{tmp_path}/again", block_rows=1).collect()
+    assert sum(r.gathered for r in one) == 0 and sum(r.blocks for r in one) == 5
+    again = [(r.ns, r.epoch, r.timeseries_id, r.tags["f"]) for r in smallfiles.merged_rows(spark, f"file://{tmp_path}/again").collect()]
+    assert sorted(again, key=str) == sorted(want, key=str)
 
 
 def test_compact_paths(spark, tmp_path):
@@ -164,4 +169,30 @@ def test_compact_paths(spark, tmp_path):
             (tmp_path / "in" / folder / f"{i}.parquet").write_bytes(smallfiles.encode(_table([(folder, 1, i, i, "m", {"k": "v"})])))
     log = smallfiles.compact_paths(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out").collect()
     assert len(log) == 24 and len({r.part for r in log}) == 2
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 24
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 24 and all(r.gathered == r.n_rows == 1 for r in log)
+    kept = smallfiles.compact_paths(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/kept", block_rows=1).collect()
+    assert all(r.gathered == 0 for r in kept) and pq.ParquetFile(next((tmp_path / "kept").glob("*.parquet"))).metadata.num_row_groups == 12
+    many = smallfiles.compact_paths(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/many", target_bytes=6_000).collect()
+    assert len({r.part for r in many}) > 2 and spark.read.parquet(f"{tmp_path}/many").count() == 24
+    (tmp_path / "none").mkdir()
+    assert smallfiles.compact_paths(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/nothing").count() == 0
+
+
+def test_placement_fills_files_day_by_day(spark):
+    day = smallfiles.DAY
+    chosen = spark.createDataFrame([(i, "a", 1, i // 4 * day) for i in range(40)] + [(100 + i, "b", None, None) for i in range(3)] + [(200 + i, "c", 1, 5 * day) for i in range(30)], "file_id bigint, ns string, shard_id int, epoch bigint")
+    sizes = chosen.select("file_id", F.lit(1).cast("bigint").alias("n_series"), F.when(F.col("file_id") == 229, 1000).otherwise(10).cast("bigint").alias("bytes"))
+    placed = {r.file_id: r for r in smallfiles.placements(chosen, sizes, 100).collect()}
+    assert len(placed) == 73
+    runs = [{r.file_id for r in placed.values() if r.group == g} for g in {r.group for r in placed.values() if r.ns == "a"}]
+    assert sorted(map(min, runs)) == [0, 12, 20, 32] and all(max(r) - min(r) + 1 == len(r) for r in runs)
+    assert len({r.group for r in placed.values() if r.ns == "b"}) == 1 and len({r.group for r in placed.values() if r.ns == "c"}) > 5
+    assert placed[229].pieces == 10 and placed[0].pieces == 1
+
+
+def test_damaged_objects_are_not_lost(spark, tmp_path):
+    content = smallfiles.encode(_table([("a", 1, 1, 1, "m", {})]))
+    with pytest.raises(SegmentError):
+        smallfiles.join_objects([content], [2], 10)
+    with pytest.raises(SegmentError):
+        smallfiles.join_objects([content, content[:-20]], [1, 1], 10)
