@@ -9,8 +9,12 @@ shards of the keys that were split. The plan changes where rows are processed, n
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +44,69 @@ def estimate_loads(df: DataFrame, key: Column, tasks: int) -> tuple[int, list[tu
     return row["n"], [(x["item"], x["count"]) for x in row["top"] or [] if x["item"] is not None]
 
 
+def summarised(make: Callable[[pa.RecordBatch], Iterator[tuple[str, pa.Array, np.ndarray]]], counters: int):
+    """A mapInArrow function: a bounded summary of how often each (field, term) of make occurs in a task's rows.
+
+    Gives field, term, n. Where a task meets more than `counters` terms, all counts are lowered by that of the
+    first one beyond and the others forgotten (the mergeable frequent-items summary): a term's count is too
+    small by at most rows / counters, and none is too large. A row with a null field bears the number of entries.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        total = 0
+        for batch in batches:
+            new = []
+            for field, terms, _ in make(batch):
+                counts = pc.value_counts(terms.drop_null())
+                words, n = counts.field("values"), counts.field("counts")
+                total += len(terms) - terms.null_count
+                new.append(pa.table({"field": pa.array([field] * len(words), pa.string()), "term": words, "n": n}))
+            joined = pa.concat_tables([*([held] if held is not None else []), *new]).group_by(["field", "term"]).aggregate([("n", "sum")])
+            held = joined.rename_columns(["field", "term", "n"])
+            if len(held) > counters:
+                n = held.column("n").to_numpy()
+                floor = int(np.partition(n, len(n) - counters - 1)[len(n) - counters - 1])
+                kept = n > floor
+                held = held.filter(pa.array(kept)).set_column(2, "n", pa.array(n[kept] - floor))
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.string()), pa.array([total], pa.int64())], names=["field", "term", "n"])
+        if held is not None and len(held):
+            yield from held.combine_chunks().to_batches()
+
+    return run
+
+
+def plan_for_items(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[tuple[str, pa.Array, np.ndarray]]], tasks: int | None = None) -> BalancePlan:
+    """The plan of items, of which a row holds several: keys are field and term, see item_key; loads are the
+    rows that hold them. Each task passes on a bounded summary, so neither rows nor items move."""
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(FINE * tasks, MOST_PLACED)
+    parts = df.mapInArrow(summarised(make, max(10_000, 4 * most)), "field string, term string, n bigint").groupBy("field", "term").agg(F.sum("n").alias("n"))
+    top = parts.orderBy(F.col("field").isNotNull(), F.desc("n"), "field", "term").limit(most + 1).collect()
+    total = next((r.n for r in top if r.field is None), 0)
+    return pack(total, [(f"{r.field}\x01{r.term}", r.n) for r in top if r.field is not None], tasks)
+
+
+def item_key() -> Column:
+    return F.concat_ws("\x01", "field", "term")
+
+
+def sharded(make: Callable[[pa.RecordBatch], Iterator[tuple[str, pa.Array, np.ndarray]]], plan: BalancePlan) -> Callable[[pa.RecordBatch], Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]]:
+    """make with the shard of each entry: rows that hold a split item are dealt out to its shards in turn, by
+    their place in the task; other items have the one shard 0."""
+    split = {k: len(t) for k, t in plan.placed.items() if len(t) > 1}
+
+    def run(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
+        for field, terms, rows in make(batch):
+            own = [k for k in split if k.startswith(f"{field}\x01")]
+            values = pa.array([k[len(field) + 1 :] for k in own], pa.string())
+            at = pc.fill_null(pc.index_in(terms, value_set=values), -1).to_numpy(zero_copy_only=False)
+            count = np.array([*(split[k] for k in own), 1], np.int64)[at]
+            yield field, terms, rows, rows % count
+
+    return run
+
+
 def pack(total: int, loads: list[tuple[str, int]], tasks: int) -> BalancePlan:
     """Split keys above a fair share into proportionate shards and place large shards, largest first, on
     the task with the least load so far. Ties go to the lower task, so equal input gives equal plans."""
@@ -69,12 +136,13 @@ def _placements(df: DataFrame, plan: BalancePlan) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, "__key string, __tasks array<int>"))
 
 
-def fragment(df: DataFrame, key: Column, spread: list[Column], plan: BalancePlan) -> DataFrame:
+def fragment(df: DataFrame, key: Column, spread: list[Column], plan: BalancePlan, shard: Column | None = None) -> DataFrame:
     """Adds the task of each row. Rows of a split key go to one of its shards by the hash of spread, so
-    that rows equal in spread stay together. Null keys are spread like a split key over all tasks."""
+    that rows equal in spread stay together, or to the one numbered shard. Null keys are spread like a split
+    key over all tasks."""
     keyed = df.withColumn("__k", key)
     placed = keyed.join(_placements(df, plan), F.col("__k") == F.col("__key"), "left")
-    by_row = F.xxhash64(*spread)
+    by_row = F.xxhash64(*spread) if shard is None else shard.cast("bigint")
     chosen = F.get("__tasks", F.pmod(by_row, F.size("__tasks").cast("bigint")).cast("int"))
     tail = F.when(F.col("__k").isNull(), F.pmod(by_row, F.lit(plan.tasks).cast("bigint"))).otherwise(F.pmod(F.xxhash64("__k"), F.lit(plan.tasks).cast("bigint")))
     return placed.withColumn(TASK, F.coalesce(chosen, tail.cast("int"))).drop("__k", "__key", "__tasks")
@@ -103,9 +171,9 @@ def balanced_aggregate(df: DataFrame, keys: list[str], key: Column, spread: list
     return rows.groupBy(TASK, *keys).agg(*partial).drop(TASK).groupBy(*keys).agg(*final)
 
 
-def balanced_join(facts: DataFrame, other: DataFrame, keys: list[str], key: Column, spread: list[Column], plan: BalancePlan, how: str = "inner") -> DataFrame:
+def balanced_join(facts: DataFrame, other: DataFrame, keys: list[str], key: Column, spread: list[Column], plan: BalancePlan, how: str = "inner", shard: Column | None = None) -> DataFrame:
     """facts joined with other on keys (how: inner, left, left_semi or left_anti); both are moved by the
     plan. The result keeps the task column, so that an aggregate can follow without an exchange."""
-    left = settled(fragment(facts, key, spread, plan), plan)
+    left = settled(fragment(facts, key, spread, plan, shard), plan)
     right = settled(replicate(other, key, plan), plan)
     return left.hint("merge").join(right, [TASK, *keys], how)

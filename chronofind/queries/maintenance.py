@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofind.functions.tokens import COUNTED, counted, metric_and_tags
+from chronofind.functions.tokens import COUNTED, SHARDED, counted, metric_and_tags
 from chronofind.operators import skew, smallfiles
 from chronofind.session import materialise, scratch_path
 from chronofind.sources.objects import ObjectStore
@@ -16,34 +16,42 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Items held by at least so many percent of all rows are reported by p4_found.
 HEAVY_PERCENT = 5
+#: Tasks of the item plan for each shuffle partition: finer tasks are evener, and run one after another.
+SHARES = 4
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _item_key() -> F.Column:
-    return F.concat_ws("\x01", "field", "term")
+def _item_shards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, skew.BalancePlan]:
+    """(rows of items in their tasks, plan). Loads are estimated over all rows of records; rows that hold a
+    split item are dealt out to its shards, counted there within each task, and moved to the shards' tasks."""
+    records = _table(spark, sf_dir, "records").select("metric", "tags")
+    plan = skew.plan_for_items(records, metric_and_tags, SHARES * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return records.mapInArrow(counted(skew.sharded(metric_and_tags, plan)), SHARDED).drop("occurrences"), plan
 
 
 def item_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """field, item, n_rows, n_stored: for every metric and tag of records, the rows that hold it and the
-    rows of the stored series that do.
-
-    Rows are counted within their tasks first; what is left of each item, as many partial counts as tasks
-    saw it, is balanced by the plan and joined with the stored counts, which are copied to the shards of
-    split items only.
-    """
-    make = counted(metric_and_tags)
-    facts = materialise(_table(spark, sf_dir, "records").select("metric", "tags").mapInArrow(make, COUNTED).drop("occurrences"), "p4-items")
-    stored = _table(spark, sf_dir, "tags_and_timestamp").select("metric", "tags").mapInArrow(make, COUNTED)
+    rows of the stored series that do. The stored counts are copied to the shards of split items only."""
+    facts, plan = _item_shards(spark, sf_dir)
+    stored = _table(spark, sf_dir, "tags_and_timestamp").select("metric", "tags").mapInArrow(counted(metric_and_tags), COUNTED)
     stored = stored.groupBy("field", "term").agg(F.sum("n_rows").alias("n_stored"))
-    plan = skew.plan_for(facts, _item_key())
-    joined = skew.balanced_join(facts, stored, ["field", "term"], _item_key(), [F.col("n_rows"), F.col("field")], plan, "left")
+    joined = skew.balanced_join(facts, stored, ["field", "term"], skew.item_key(), [F.col("term")], plan, "left", F.col("shard"))
     shards = joined.groupBy(skew.TASK, "field", "term").agg(F.sum("n_rows").alias("n_rows"), F.first("n_stored").alias("n_stored"))
     return shards.groupBy("field", F.col("term").alias("item")).agg(F.sum("n_rows").alias("n_rows"), F.coalesce(F.max("n_stored"), F.lit(0).cast("bigint")).alias("n_stored"))
 
 
+def item_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_tasks, n_entries, n_split, largest: how even the plan of p4_found and p4_items is. Entries are items
+    of rows; largest is the share of the fullest task, as a multiple of the mean."""
+    facts, plan = _item_shards(spark, sf_dir)
+    loads = skew.fragment(facts, skew.item_key(), [F.col("term")], plan, F.col("shard")).groupBy(skew.TASK).agg(F.sum("n_rows").alias("n"))
+    n_split = sum(len(t) > 1 for t in plan.placed.values())
+    return loads.agg(F.lit(plan.tasks).alias("n_tasks"), F.sum("n").alias("n_entries"), F.lit(n_split).alias("n_split"), (F.max("n") * plan.tasks / F.sum("n")).alias("largest"))
+
+
 def heavy_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = _table(spark, sf_dir, "records").count()
     return item_results(spark, sf_dir).where(F.col("n_rows") * 100 >= total * HEAVY_PERCENT).select("field", "item")
@@ -128,6 +136,7 @@ def queries() -> dict[str, Query]:
         "p4_found": heavy_items,
         "p4_items": item_results,
         "p4_metrics": metric_results,
+        "p4_tasks": item_tasks,
         "p7_found": merged_files,
         "p7_segments": merged_segments,
         "p7_report": compaction_report,

@@ -196,3 +196,52 @@ def test_damaged_objects_are_not_lost(spark, tmp_path):
         smallfiles.join_objects([content], [2], 10)
     with pytest.raises(SegmentError):
         smallfiles.join_objects([content, content[:-20]], [1, 1], 10)
+
+
+def _items(spark, n=4000):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot"] * 4 + [f"m{i}" for i in range(30)] + [None]), {"env": rng.choice(["prod"] * 5 + ["x", None]), f"k{rng.randrange(40)}": str(i % 7)} if i % 9 else None, "") for i in range(n)]
+    return rows, spark.createDataFrame(rows, RECORD).repartition(5)
+
+
+def test_item_plan_splits_and_counts_stay_whole(spark):
+    rows, df = _items(spark)
+    want = Counter()
+    for m, tags, _ in rows:
+        want.update(["metric\x01" + m] if m is not None else [])
+        want.update({f"tag\x01{k}={v}" for k, v in (tags or {}).items() if v is not None})
+    plan = skew.plan_for_items(df.select("metric", "tags"), metric_and_tags, 16)
+    assert len(plan.placed["tag\x01env=prod"]) > 2 and len(plan.placed["metric\x01hot"]) == 1
+    facts = df.select("metric", "tags").mapInArrow(counted(skew.sharded(metric_and_tags, plan)), "field string, term string, shard bigint, occurrences bigint, n_rows bigint").cache()
+    assert {r.k: r.n for r in facts.groupBy(skew.item_key().alias("k")).agg(F.sum("n_rows").alias("n")).collect()} == want
+    shards = {r.shard: r.n for r in facts.where("term = 'env=prod'").groupBy("shard").agg(F.sum("n_rows").alias("n")).collect()}
+    assert set(shards) == set(range(len(plan.placed["tag\x01env=prod"]))) and max(shards.values()) < 1.25 * min(shards.values())
+    loads = skew.fragment(facts, skew.item_key(), [F.col("term")], plan, F.col("shard")).groupBy(skew.TASK).agg(F.sum("n_rows").alias("n")).collect()
+    assert max(r.n for r in loads) * 16 <= 2 * sum(want.values())
+    assert skew.plan_for_items(df.select("metric", "tags").limit(0), metric_and_tags, 4).placed == {}
+
+
+def test_summary_is_bounded_and_errs_by_little(spark):
+    rows, df = _items(spark)
+    exact = Counter(m for m, *_ in rows if m is not None)
+    only_metrics = lambda batch: [next(metric_and_tags(batch))]
+    got = df.coalesce(1).select("metric", "tags").mapInArrow(skew.summarised(only_metrics, 6), "field string, term string, n bigint").collect()
+    named = {r.term: r.n for r in got if r.field is not None}
+    assert next(r.n for r in got if r.field is None) == sum(exact.values()) and len(named) <= 6 and "hot" in named
+    assert all(exact[k] - sum(exact.values()) / 6 <= n <= exact[k] for k, n in named.items())
+
+
+def test_registered_plan_splits_items_evenly(spark):
+    import os
+
+    from chronofind.queries.maintenance import queries
+
+    if not os.path.isdir("/root/testdata/sf0.1"):
+        pytest.skip("no test tables")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        r = queries()["p4_tasks"](spark, "/root/testdata/sf0.1").first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert r.n_split >= 1 and r.largest <= 1.5 and r.n_tasks == 32
