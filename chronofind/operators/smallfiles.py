@@ -10,13 +10,13 @@ large file is read back by its footer before it gets its final name.
 
 from __future__ import annotations
 
-import hashlib
 import io
 import re
 import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
@@ -100,7 +100,7 @@ def placements(chosen: DataFrame, sizes: DataFrame, target_bytes: int) -> DataFr
     """chosen with its part: files of one namespace and shard, in order of their days until they hold
     target_bytes; a day that holds more is divided by file, and a file that holds more by series (pieces).
 
-    sizes: file_id, n_series, bytes. What is ordered are the sums by day, not the files.
+    sizes: file_id, n_series, bytes, copies. What is ordered are the sums by day, not the files.
     """
     target = F.lit(target_bytes).cast("bigint")
     day = F.col("epoch") - F.pmod(F.col("epoch"), F.lit(DAY).cast("bigint"))
@@ -113,7 +113,7 @@ def placements(chosen: DataFrame, sizes: DataFrame, target_bytes: int) -> DataFr
     placed = sized.join(days, same)
     # A divided day stands alone, so that its slots don't mix with its neighbours.
     own = F.struct("ns", "shard_id", F.when(slots > 1, F.col("day")).alias("day"), F.when(slots == 1, F.col("_run")).alias("run"), F.pmod(F.xxhash64("file_id"), slots).alias("slot"))
-    return placed.select("file_id", *PLACE, "bytes", F.col("n_series").alias("rows"), F.to_json(own).alias("group"), F.ceil(F.greatest("bytes", target) / target).cast("bigint").alias("pieces"))
+    return placed.select("file_id", *PLACE, "copies", F.col("n_series").alias("rows"), F.to_json(own).alias("group"), F.ceil(F.greatest("bytes", target) / target).cast("bigint").alias("pieces"))
 
 
 def encode(table: pa.Table, dictionary: bool = False) -> bytes:
@@ -238,95 +238,94 @@ def merge_objects(objects: DataFrame, where: str, block_rows: int = BLOCK_ROWS)
 
 
 def _packer(where: str):
-    """mapInArrow function over rows sorted by pack and file: writes each file's rows as an object, the objects
-    of a pack one behind the other; gives OBJECTS. Rows of a file beyond the first of a series are dropped."""
+    """mapInArrow function over rows in which those of a file, or piece of one, follow each other: encodes each
+    as an object and writes them to packs, by part within each; gives OBJECTS."""
     schema = pa.schema([("ns", pa.string()), ("shard_id", pa.int32()), ("epoch", pa.int64()), ("timeseries_id", pa.int64()),
                         ("metric", pa.string()), ("tags", pa.map_(pa.string(), pa.string()))])
 
-    def finish(pack: str, table: pa.Table) -> pa.RecordBatch:
-        ids = table.column("file_id").combine_chunks()
-        ends = _boundaries(ids)
-        starts = [0, *ends]
-        body = table.select(schema.names).cast(schema)
-        parts, clean = table.column("part").take(starts), table.column("clean").take(starts)
-        contents = [encode(body.slice(a, b - a)) for a, b in zip(starts, [*ends, len(ids)], strict=True)]
-        name = hashlib.md5(pack.encode()).hexdigest() + ".pack"
-        _publish(where, name, b"".join(contents))
-        sizes = [len(c) for c in contents]
-        at = [0]
-        for size in sizes[:-1]:
-            at.append(at[-1] + size)
+    def written(objects: list[tuple]) -> pa.RecordBatch:
+        objects.sort(key=lambda o: o[:2])
+        # A retried task writes packs of its own.
+        name = f"{uuid.uuid4().hex}.pack"
+        _publish(where, name, b"".join(o[4] for o in objects))
+        sizes = np.array([len(o[4]) for o in objects], np.int64)
+        column = lambda i, t: pa.array([o[i] for o in objects], t)
         return pa.RecordBatch.from_arrays([
-            ids.take(pa.array(starts)), parts.combine_chunks(), pa.array([f"{where}/{name}"] * len(starts), pa.string()), pa.array(at, pa.int64()), pa.array(sizes, pa.int64()),
-            pa.array([b - a for a, b in zip(starts, [*ends, len(ids)], strict=True)], pa.int64()), clean.combine_chunks()], names=["object", "part", "path", "at", "size", "n_rows", "clean"])
+            column(1, pa.int64()), column(0, pa.string()), pa.array([f"{where}/{name}"] * len(objects), pa.string()), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes),
+            column(2, pa.int64()), column(3, pa.bool_())], names=["object", "part", "path", "at", "size", "n_rows", "clean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        objects: list[tuple] = []
         held: list[pa.Table] = []
-        current = None
+        size, current = 0, None
+
+        def finish() -> int:
+            table = pa.concat_tables(held)
+            content = encode(table.select(schema.names).cast(schema))
+            objects.append((table["part"][0].as_py(), table["file_id"][0].as_py(), len(table), table["clean"][0].as_py(), content))
+            held.clear()
+            return len(content)
+
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            packs = table.column("pack").combine_chunks()
-            start = 0
-            for end in [*_boundaries(packs), len(packs)]:
-                if end == start:
-                    continue
-                pack = packs[start].as_py()
-                if pack != current and held:
-                    yield finish(current, pa.concat_tables(held))
-                    held = []
-                current = pack
+            ids, pieces = table["file_id"].combine_chunks().to_numpy(), table["piece"].combine_chunks().to_numpy()
+            starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (pieces[1:] != pieces[:-1])]) if len(ids) else []
+            for start, end in zip(starts, [*starts[1:], len(ids)], strict=True):
+                if held and (ids[start], pieces[start]) != current:
+                    size += finish()
+                    if size > PACK_BYTES:
+                        yield written(objects)
+                        objects, size = [], 0
+                current = ids[start], pieces[start]
                 held.append(table.slice(start, end - start))
-                start = end
         if held:
-            yield finish(current, pa.concat_tables(held))
+            finish()
+        if objects:
+            yield written(objects)
 
     return run
 
 
-def _boundaries(column: pa.Array) -> list[int]:
-    """Places at which a sorted column's value changes."""
-    codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-    return [int(i) + 1 for i in (codes[1:] != codes[:-1]).nonzero()[0]]
-
-
 def uploaded_objects(chosen: DataFrame, series: DataFrame, where: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """The objects of the chosen files (OBJECTS, object being the file_id), written below `where` in packs of
     about PACK_BYTES. Files without rows have none.
 
-    chosen: file_id, ns, shard_id, epoch; series: file_id, timeseries_id, metric, tags. Placement follows from
-    keys and sizes; contents then move once, to their pack. Files with repeated series, or of which another
-    file of the place keeps a series, are reduced before they move and come out not clean.
+    chosen: file_id, ns, shard_id, epoch; series: file_id, timeseries_id, metric, tags. Sizes and placement
+    follow from keys; contents then move once, to meet their file's placement, and become objects where they
+    arrive. Files with repeated series, or of which another file of the place keeps a series, are reduced
+    before they move and come out not clean; files larger than target_bytes are divided by series.
     """
     spark = chosen.sparkSession
     tiny = series.where(F.col("file_id").isNotNull()).select("file_id", "timeseries_id", "metric", "tags")
     text = F.coalesce(F.octet_length("metric"), F.lit(0)) + F.coalesce(F.aggregate(F.map_entries("tags"), F.lit(0), lambda n, e: n + F.octet_length(e["key"]) + F.coalesce(F.octet_length(e["value"]), F.lit(0))), F.lit(0))
-    keys = tiny.select("file_id", "timeseries_id", text.alias("text")).join(chosen.select("file_id"), "file_id", "left_semi")
-    keys = keys.groupBy("file_id", "timeseries_id").agg(F.count(F.lit(1)).alias("copies"), F.max("text").alias("text"))
-    keys = materialise(keys, "p7-keys")
-    away = given_away(keys.select("file_id", "timeseries_id"), chosen)
+    keys = tiny.select("file_id", "timeseries_id", text.alias("text")).groupBy("file_id", "timeseries_id").agg(F.count(F.lit(1)).alias("copies"), F.max("text").alias("text"))
+    sizes = keys.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_series"), F.sum(F.col("text") + 32).alias("bytes"), F.max("copies").alias("copies"))
+    placed = placements(chosen, sizes, target_bytes).where(F.col("rows") > 0).withColumn("clean", F.col("copies") == 1)
+    away = given_away(tiny.select("file_id", "timeseries_id"), chosen)
     if away is not None:
-        away = materialise(away, "p7-away")
+        away = materialise(away.distinct(), "p7-away")
         out = away.select(F.col("file_id").alias("_file"), F.col("timeseries_id").alias("_series"))
         named = (F.col("file_id") == F.col("_file")) & F.col("timeseries_id").eqNullSafe(F.col("_series"))
         givers = away.select("file_id").distinct().withColumn("gives", F.lit(True))
-    sizes = keys.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_series"), F.sum(F.col("text") + 32).alias("bytes"), F.max("copies").alias("copies"))
-    placed = placements(chosen, sizes.select("file_id", "n_series", "bytes"), target_bytes).where(F.col("rows") > 0)
-    placed = placed.join(sizes.select("file_id", (F.col("copies") == 1).alias("clean")), "file_id")
-    if away is not None:
-        placed = placed.join(givers, "file_id", "left").withColumn("clean", F.col("clean") & F.col("gives").isNull()).drop("gives")
-    placed = materialise(placed.select("file_id", *PLACE, "group", "pieces", "clean", "bytes"), "p7-placed")
-    whole = tiny.join(placed.where("clean"), "file_id")
-    reduced = tiny.join(placed.where("not clean").select("file_id"), "file_id", "left_semi")
-    reduced = distinct_rows(reduced if away is None else reduced.join(out, named, "left_anti"))
-    rows = whole.unionByName(reduced.join(placed.where("not clean"), "file_id"))
-    piece = F.pmod(F.xxhash64("timeseries_id"), F.col("pieces"))
-    group_bytes = placed.groupBy("group").agg(F.sum("bytes").alias("group_bytes"))
-    packs = F.ceil(F.greatest(F.col("group_bytes") / F.col("pieces"), F.lit(1.0)) / PACK_BYTES).cast("bigint")
-    rows = rows.join(group_bytes, "group").withColumn("part", F.md5(F.concat_ws("/", "group", piece.cast("string"))))
-    rows = rows.withColumn("pack", F.concat_ws("/", "part", F.pmod(F.xxhash64("file_id", F.lit("pack")), packs).cast("string")))
-    settled = rows.select("pack", "part", "file_id", *PLACE, "timeseries_id", "metric", "tags", "clean")
-    settled = _spread(settled, "pack").sortWithinPartitions("pack", "epoch", "file_id", "timeseries_id")
-    return materialise(settled.mapInArrow(_packer(qualified(spark, where)), OBJECTS), "p7-objects")
+        placed = placed.join(givers, "file_id", "left").withColumn("clean", F.col("clean") & F.col("gives").isNull())
+    placed = materialise(placed.select("file_id", *PLACE, "group", "pieces", "clean"), "p7-placed")
+
+    def pieced(rows: DataFrame, files: DataFrame) -> DataFrame:
+        piece = F.pmod(F.xxhash64("timeseries_id"), F.col("pieces"))
+        rows = rows.join(files, "file_id").withColumn("piece", piece).withColumn("part", F.md5(F.concat_ws("/", "group", F.col("piece").cast("string"))))
+        return rows.select("part", "piece", "file_id", *PLACE, "timeseries_id", "metric", "tags", "clean")
+
+    pack = lambda rows: rows.mapInArrow(_packer(qualified(spark, where)), OBJECTS)
+    moved = lambda rows: pack(rows.repartition("file_id", "piece").sortWithinPartitions("file_id", "piece", "timeseries_id"))
+    # The window asks for what a sorted join by file has done already, so no second exchange follows one.
+    by_file = F.row_number().over(Window.partitionBy("file_id").orderBy("timeseries_id"))
+    objects = pack(pieced(tiny, placed.where("clean and pieces = 1")).withColumn("n", by_file))
+    unclean, large = placed.where("not clean"), placed.where("clean and pieces > 1")
+    reduced = tiny.join(unclean.select("file_id"), "file_id", "left_semi")
+    objects = objects.union(moved(pieced(distinct_rows(reduced if away is None else reduced.join(out, named, "left_anti")), unclean)))
+    if not large.isEmpty():
+        objects = objects.union(moved(pieced(tiny, large)))
+    return materialise(objects, "p7-objects")
 
 
 def merge_files(chosen: DataFrame, series: DataFrame, where: str, target_bytes: int = TARGET_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:

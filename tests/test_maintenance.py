@@ -181,7 +181,7 @@ def test_compact_paths(spark, tmp_path):
 def test_placement_fills_files_day_by_day(spark):
     day = smallfiles.DAY
     chosen = spark.createDataFrame([(i, "a", 1, i // 4 * day) for i in range(40)] + [(100 + i, "b", None, None) for i in range(3)] + [(200 + i, "c", 1, 5 * day) for i in range(30)], "file_id bigint, ns string, shard_id int, epoch bigint")
-    sizes = chosen.select("file_id", F.lit(1).cast("bigint").alias("n_series"), F.when(F.col("file_id") == 229, 1000).otherwise(10).cast("bigint").alias("bytes"))
+    sizes = chosen.select("file_id", F.lit(1).cast("bigint").alias("n_series"), F.when(F.col("file_id") == 229, 1000).otherwise(10).cast("bigint").alias("bytes"), F.lit(1).cast("bigint").alias("copies"))
     placed = {r.file_id: r for r in smallfiles.placements(chosen, sizes, 100).collect()}
     assert len(placed) == 73
     runs = [{r.file_id for r in placed.values() if r.group == g} for g in {r.group for r in placed.values() if r.ns == "a"}]
