@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 # Notices that exporters append where they cut a text.
@@ -10,38 +9,22 @@ NOTICES = ("[truncated]", "[message too long]", "(cut)", "<snip>")
 ELLIPSES = ("…", "...")
 _STOPS = ".!?。！？"
 
+#: Where the diff begins, unless the text does.
+DIFF = "\ndiff --git "
+
 _HUNK = re.compile(r"@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@")
 _LISTED = re.compile(r"\s*(?:[A-Z][\w-]*: |[-*] |#)")
 _BLANK = re.compile(r"\n[ \t\r>]*\n")
 _PATCH = re.compile(r"(?:literal|delta) (\d+)\r?\Z")
 
 
-def lengths(text: str) -> dict[str, int]:
-    """Length of a text under every form in which a store may have measured it."""
-    crlf = text.count("\n") - text.count("\r\n")
-    size = len(text.encode("utf-8", "surrogatepass"))
-    entities = 4 * text.count("&") + 3 * (text.count("<") + text.count(">"))
-    quoted = json.dumps(text, ensure_ascii=False)
-    return {
-        "chars": len(text),
-        "utf8": size,
-        "utf16": len(text.encode("utf-16-le", "surrogatepass")) // 2,
-        "entities": len(text) + entities,
-        "entities_utf8": size + entities,
-        "json": len(quoted) - 2,
-        "json_ascii": len(json.dumps(text)) - 2,
-        "json_utf8": len(quoted.encode("utf-8", "surrogatepass")) - 2,
-        "crlf": len(text) + crlf,
-        "crlf_utf8": size + crlf,
-    }
-
-
 def without_notice(text: str) -> tuple[str, bool]:
     """The text before a notice at its very end, and whether there was one. Dots set off by a space, or
     followed by a line end, are an author's and no notice."""
+    whole = text.rstrip("\r\n")
     for notice in NOTICES:
-        if text.endswith(notice):
-            return text[: -len(notice)].rstrip(" ").removesuffix("\n"), True
+        if whole.endswith(notice) and (whole == text or whole[: -len(notice)].endswith("\n") or _in_diff(whole) or _unfinished(whole[: -len(notice)])):
+            return whole[: -len(notice)].rstrip(" ").removesuffix("\n"), True
     for dots in ELLIPSES:
         if text.endswith(dots) and len(text) > len(dots):
             before = text[: -len(dots)]
@@ -50,13 +33,19 @@ def without_notice(text: str) -> tuple[str, bool]:
     return text, False
 
 
+def _unfinished(text: str) -> bool:
+    """Whether the last line breaks off: it isn't blank and no stop, bracket or quote closes it."""
+    last = text.rstrip(" ").rsplit("\n", 1)[-1].strip()
+    return bool(last) and last[-1] not in _STOPS + ")]}>\"'`:;"
+
+
 def _in_diff(text: str) -> bool:
-    return "\ndiff --git " in text or text.startswith("diff --git ")
+    return DIFF in text or text.startswith("diff --git ")
 
 
 def body_lines(text: str) -> list[str]:
     """The diff's lines, without the message."""
-    at = text.find("\ndiff --git ")
+    at = text.find(DIFF)
     if at < 0 and not text.startswith("diff --git "):
         return []
     return text[max(at, 0):].strip("\n").split("\n")

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chronofind.llm.fmindex import FMIndex
 
@@ -17,8 +18,8 @@ from chronofind.llm.fmindex import FMIndex
 WORDS = 15
 #: Words of one index; bounds a task's memory. Longer texts are indexed in overlapping pieces.
 SHARD_WORDS = 300_000
-#: Test material is sent to every task; more than this is refused.
-MOST_PHRASES = 2_000_000
+#: Words of test material that are sent to a task at once; more are searched in several passes.
+BLOCK_WORDS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 SPANS = "doc_id bigint, item_id bigint, first_word bigint, last_word bigint"
@@ -96,22 +97,44 @@ class _Shard:
                 yield docs[d][0], item, docs[d][1] + first, docs[d][1] + last
 
 
-def leaks(documents: DataFrame, items: DataFrame, length: int = WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def _item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, str | None]]]:
+    """The items, as many at a time as hold about block_words words; at least one block."""
+    split = F.size(F.split("passage", r"\s+"))
+    total = items.agg(F.sum(F.greatest(split, F.lit(1))).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total // block_words))
+    for block in range(blocks):
+        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks).cast("bigint")) == block)
+        yield sorted((r[0], r[1]) for r in mine.select("item_id", "passage").collect() if r[0] is not None and r[1] is not None)
+
+
+def leaks(documents: DataFrame, items: DataFrame, length: int = WORDS, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, first_word, last_word: each span of a document (by word numbers from 0) in which
     at least `length` consecutive words of an item's passage stand; overlapping and touching spans of one
     item are merged, so removing them leaves no phrase of it behind.
 
-    documents: doc_id, text; items: item_id, passage, a bounded table (held-out material doesn't grow with
-    the corpus): above MOST_PHRASES phrases ValueError is raised. The corpus isn't shuffled: each task
-    indexes its own texts by shards of shard_words words and searches all phrases in them. Null texts,
-    null passages and passages of fewer words match nothing. A text longer than a shard is indexed in
-    pieces that overlap by length - 1 words; spans that meet at a border may then come out as two.
+    documents: doc_id, text; items: item_id, passage. Items are sent to the tasks in blocks of about
+    block_words words, each of which is searched for in a pass over the corpus. The corpus isn't shuffled:
+    each task indexes its own texts by shards of shard_words words and searches all phrases in them; only
+    the spans move. Null texts, ids and passages and passages of fewer words match nothing. A text longer
+    than a shard is indexed in pieces that overlap by length - 1 words, whose spans are merged at the end, so
+    neither number changes the result.
     """
-    rows = items.select("item_id", "passage").limit(MOST_PHRASES + 1).collect()
-    vocabulary, patterns, owners = phrases(sorted((r[0], r[1]) for r in rows if r[1] is not None), length)
-    if max(len(rows), len(patterns)) > MOST_PHRASES:
-        raise ValueError(f"more than {MOST_PHRASES} test phrases")
-    most = max(shard_words, 2 * length)
+    found = None
+    for block in _item_blocks(items, block_words):
+        spans = _spans(documents, block, length, max(shard_words, 2 * length))
+        found = spans if found is None else found.union(spans)
+    pair = F.struct(F.col("first_word").alias("a"), F.col("last_word").alias("b"))
+    ordered = found.groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_list(pair)).alias("s"))
+    # The last span takes in the next one where they overlap or touch.
+    merged = F.aggregate("s", F.slice("s", 1, 1), lambda done, x: F.when(
+        x["a"] <= F.element_at(done, -1)["b"] + 1,
+        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["a"].alias("a"), F.greatest(F.element_at(done, -1)["b"], x["b"]).alias("b")))),
+    ).otherwise(F.concat(done, F.array(x))))
+    return ordered.select("doc_id", "item_id", F.explode(merged).alias("m")).select("doc_id", "item_id", F.col("m.a").alias("first_word"), F.col("m.b").alias("last_word"))
+
+
+def _spans(documents: DataFrame, block: list[tuple[int, str | None]], length: int, most: int) -> DataFrame:
+    vocabulary, patterns, owners = phrases(block, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(vocabulary, patterns, owners, length, most)

@@ -10,11 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofind.llm.perfecthash import PerfectIndex
+from chronofind.llm.perfecthash import FINGERPRINT_BITS, PerfectIndex
 from chronofind.session import materialise
 
 #: Distinct keys of one partition; bounds what one task holds in memory.
 KEYS_PER_PART = 250_000
+#: Sealed generations that a lookup goes through before they are sealed anew as one.
+MOST_GENERATIONS = 8
+#: Normal quantile of the stated upper bound of a rate, one-sided 97.5 %.
+Z = 1.96
+__all__ = ["FINGERPRINT_BITS"]
 _INDEX = "part int, n bigint, blob binary"
 
 
@@ -79,29 +84,36 @@ def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(order).alias("first"))
 
 
-def answers(rows: DataFrame, key: str, order: str, earlier: DataFrame, parts: int, batches: list[tuple[int, int]], only_new: bool = False) -> DataFrame:
+def answers(rows: DataFrame, key: str, order: str, earlier: DataFrame, parts: int, batches: list[tuple[int, int]], only_new: bool = False,
+            generations: int = MOST_GENERATIONS) -> DataFrame:
     """key, first, stored: what the indexes answer on each distinct key of each batch, or the new ones only;
     written to the shared folder.
 
     Batches are ranges [from, to) of order, ascending and covering it. For each, keys are looked up in the
-    sealed partitions so far, and what is new is sealed in turn; the raw keys of earlier batches are never
-    needed again.
+    sealed partitions so far, and what is new is sealed in turn; lookups never need the raw keys of earlier
+    batches. After so many generations all keys so far are read once more and sealed as one, so that a lookup
+    stays short however many batches there are.
     """
-    index = seal(earlier, parts)
+    index, sealed = seal(earlier, parts), 1
     out = None
     for i, (low, high) in enumerate(batches):
         batch = first_of(rows.where((F.col(order) >= low) & (F.col(order) < high)), key, order)
         answered = probe(batch, index, parts)
         answered = materialise(answered.where(~F.col("stored")) if only_new else answered, "seen-new")
         out = answered if out is None else out.union(answered)
-        if i < len(batches) - 1:
-            index = index.union(seal(answered.where(~F.col("stored")), parts))
+        if i == len(batches) - 1:
+            break
+        if sealed < generations:
+            index, sealed = index.union(seal(answered.where(~F.col("stored")), parts)), sealed + 1
+        else:
+            before = rows.where(F.col(order) < high).select(F.col(key).alias("key"))
+            index, sealed = seal(earlier.select("key").union(before), parts), 1
     return out
 
 
-def firsts(rows: DataFrame, key: str, order: str, earlier: DataFrame, parts: int, batches: list[tuple[int, int]]) -> DataFrame:
+def firsts(rows: DataFrame, key: str, order: str, earlier: DataFrame, parts: int, batches: list[tuple[int, int]], generations: int = MOST_GENERATIONS) -> DataFrame:
     """key, first: the rows (by their unique order) whose key is new, batch by batch as in answers."""
-    return answers(rows, key, order, earlier, parts, batches, only_new=True).select("key", "first")
+    return answers(rows, key, order, earlier, parts, batches, True, generations).select("key", "first")
 
 
 def seen_before(rows: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -111,7 +123,7 @@ def seen_before(rows: DataFrame, new: DataFrame, key: str, order: str) -> DataFr
 
 
 def error_rate(batch: DataFrame, index: DataFrame, earlier: DataFrame, parts: int) -> DataFrame:
-    """n_probed, n_absent, n_wrong, rate: keys of the batch, those that really aren't among the earlier
+    """n_probed, n_absent, n_wrong, rate, upper: keys of the batch, those that really aren't among the earlier
     ones, and those of them that the index claims to know. Misses of known keys can't happen."""
     truth = earlier.select("key").where(F.col("key").isNotNull()).distinct().withColumn("known", F.lit(True))
     judged = probe(batch, index, parts).join(truth, "key", "left").select("stored", F.coalesce("known", F.lit(False)).alias("known"))
@@ -119,7 +131,7 @@ def error_rate(batch: DataFrame, index: DataFrame, earlier: DataFrame, parts: in
 
 
 def answers_error_rate(answered: DataFrame, rows: DataFrame, key: str, order: str, earlier: DataFrame) -> DataFrame:
-    """n_probed, n_absent, n_wrong, rate over all batches of answers: distinct keys probed, answers on keys that
+    """n_probed, n_absent, n_wrong, rate, upper over all batches of answers: distinct keys probed, answers on keys that
     were neither among the earlier ones nor in a row before, and wrong answers of either kind. A key wrongly
     taken for known isn't sealed, so a later batch may miss it; that counts too."""
     truth = earlier.select("key").where(F.col("key").isNotNull()).distinct().withColumn("known", F.lit(True))
@@ -130,6 +142,10 @@ def answers_error_rate(answered: DataFrame, rows: DataFrame, key: str, order: st
 
 
 def _rate(judged: DataFrame, probed: Column) -> DataFrame:
+    """upper: Wilson's bound of the rate, above 0 also where nothing was wrong; 1 where nothing was absent."""
     absent = F.count_if(~F.col("known"))
     wrong = F.count_if(F.col("stored") != F.col("known"))
-    return judged.agg(probed.alias("n_probed"), absent.alias("n_absent"), wrong.alias("n_wrong"), F.coalesce(F.try_divide(wrong, absent), F.lit(0.0)).alias("rate"))
+    counts = judged.agg(probed.alias("n_probed"), absent.alias("n_absent"), wrong.alias("n_wrong"))
+    n, p, z2 = F.col("n_absent"), F.coalesce(F.try_divide("n_wrong", "n_absent"), F.lit(0.0)), Z * Z
+    bound = (p + z2 / (2 * n) + Z * F.sqrt(p * (1 - p) / n + z2 / (4.0 * n * n))) / (1 + z2 / n)
+    return counts.select("*", p.alias("rate"), F.when(n > 0, bound).otherwise(F.lit(1.0)).alias("upper"))

@@ -1,6 +1,7 @@
 """Tokenizer, leaks and truncation."""
 
 import base64
+import json
 import os
 import random
 from collections import defaultdict
@@ -119,12 +120,22 @@ def test_leaks_against_brute_force(spark, shard_words):
         got[r.doc_id, r.item_id] |= set(range(r.first_word, r.last_word + 1))
     want = _brute([(d[0], d[1]) for d in docs], items, length)
     assert set(got) == set(want)
-    # Merged spans also cover what lies between two that touch; within one text they never leave words of a phrase out.
     assert all(want[k] <= got[k] for k in want)
+    blocks = leaks.leaks(df, spark.createDataFrame(items, "item_id bigint, passage string"), length, shard_words, block_words=15)
+    whole = leaks.leaks(df, spark.createDataFrame(items, "item_id bigint, passage string"), length, 10**6)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, whole.collect()))
     assert leaks.leaks(df.limit(0), spark.createDataFrame(items, "item_id bigint, passage string"), length).count() == 0
     assert leaks.leaks(df, spark.createDataFrame([], "item_id bigint, passage string"), length).count() == 0
 
 
+def test_long_leak_in_pieces_is_one_span(spark):
+    passage = " ".join(f"p{i}" for i in range(100))
+    text = " ".join(f"a{i}" for i in range(50)) + " " + passage + " " + " ".join(f"b{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, text, "s", "", 0)], DOC)
+    for shard in (60, 100, 1000):
+        assert [tuple(r) for r in leaks.leaks(docs, spark.createDataFrame([(7, passage)], "item_id bigint, passage string"), 15, shard).collect()] == [(1, 7, 50, 149)], shard
+
+
 # Truncation
 
 COMPLETE = """commit abc
@@ -160,21 +171,47 @@ def test_cuts_are_cases():
     for end in range(hunk, len(COMPLETE) - 7):
         assert endings.is_cut(COMPLETE[:end]) or COMPLETE[:end].endswith("@@ f"), COMPLETE[:end]
     body = "Subject: [PATCH] x\n\nThe loader moves. It was slow"
-    for text in (body, body + " bef�", body + "\0", body + " [truncated]", body + " be\n[message too long]", body + " <snip>", body + " b (cut)", body + " be…", body + " be...",
+    for text in (body, body + " bef�", body + "\0", body + " [truncated]", body + " be\n[message too long]", body + " <snip>", body + " b (cut)", body + " b [truncated]\n", body + "\n<snip>\n", body + " be…", body + " be...",
                  COMPLETE[:-12] + " (cut)", "Change: 1\n\nAdd\n\ndiff --git a/p b/p\nGIT binary patch\ndelta 52\nz" + "a" * 30, "Change: 1\n\nAdd\n\ndiff --git a/p b/p\nindex 1..2"):
         assert endings.is_cut(text), text
 
 
-def test_lengths():
-    got = endings.lengths('é🙂\n<"\r\n')
-    assert got["chars"] == 7 and got["utf8"] == 11 and got["utf16"] == 8 and got["crlf"] == 8 and got["entities"] == 10 and got["json"] == 11
-    assert set(got) == set(truncation.FORMS)
-
-
-def test_hidden_limits(spark):
-    rng = random.Random(1)
+def plain_lengths(text: str) -> dict[str, int]:
+    """Length of a text under every form in which a store may have measured it."""
+    crlf = text.count("\n") - text.count("\r\n")
+    size = len(text.encode("utf-8", "surrogatepass"))
+    entities = 4 * text.count("&") + 3 * (text.count("<") + text.count(">"))
+    quoted = json.dumps(text, ensure_ascii=False)
+    return {
+        "chars": len(text),
+        "utf8": size,
+        "utf16": len(text.encode("utf-16-le", "surrogatepass")) // 2,
+        "entities": len(text) + entities,
+        "entities_utf8": size + entities,
+        "json": len(quoted) - 2,
+        "json_ascii": len(json.dumps(text)) - 2,
+        "json_utf8": len(quoted.encode("utf-8", "surrogatepass")) - 2,
+        "crlf": len(text) + crlf,
+        "crlf_utf8": size + crlf,
+    }
+
+
+def test_lengths_are_what_plain_python_counts(spark):
+    texts = ['é🙂\n<"\r\n', "a&b<c>\t\\\x01\x7f\x0b", "plain", "x\r\r\n\n", "日本\u2028" * 50, "\x00x", "x\ndiff --git a/b\n+é\r\n", "diff --git a b", "\n\n x"]
+    docs = spark.createDataFrame([(i, t, "s", "", 0) for i, t in enumerate(texts)] + [(90, None, "s", "", 0), (91, "", "s", "", 0), (92, " \u00a0\n\t"[:4], None, "", 0), (93, " \n\t", None, "", 0)], DOC)
+    got = {r.doc_id: r for r in truncation.features(docs).collect()}
+    for i, t in enumerate(texts):
+        for form, n in plain_lengths(t).items():
+            assert got[i][f"text_{form}"] == n, (t, form)
+            message = t.split("\ndiff --git ")[0] if "\ndiff --git " in t else None
+            assert got[i][f"message_{form}"] == (None if message is None else plain_lengths(message)[form]), (t, form)
+    assert all(got[i]["text_chars"] is None and not got[i].cut for i in (90, 91, 93)) and set(plain_lengths("")) == set(truncation.FORMS)
+
+
+def _limited(rng, n):
+    """Texts of sources with hidden limits: in bytes, in characters, none, and a null source."""
     rows = []
-    for i in range(3000):
+    for i in range(n):
         source = ["utf8", "chars", "free", None][i % 4]
         text = "Note: " + "".join(rng.choice("abc é") for _ in range(rng.randint(20, 400))) + "."
         if source == "utf8":
@@ -184,15 +221,60 @@ def test_hidden_limits(spark):
         elif source in ("chars", None):
             text = text[:300]
         rows.append((i, text, source, "", 0))
-    rows += [(9000, None, "free", "", 0), (9001, "  ", "free", "", 0), (9002, "", None, "", 0)]
+    return rows
+
+
+def test_hidden_limits(spark):
+    rng = random.Random(1)
+    rows = _limited(rng, 3000) + [(9000, None, "free", "", 0), (9001, "  ", "free", "", 0), (9002, "", None, "", 0)]
     measured = truncation.features(spark.createDataFrame(rows, DOC)).cache()
-    assert {(r.source, r.form, r["at"]) for r in truncation.limits(measured).collect()} == {("utf8", "utf8", 200), ("chars", "chars", 300), (None, "chars", 300)}
+    assert {(r.source, r.part, r.form, r["at"]) for r in truncation.limits(measured).collect()} == {("utf8", "text", "utf8", 200), ("chars", "text", "chars", 300), (None, "text", "chars", 300)}
     judged = truncation.truncated(measured)
     hit = {r.doc_id for r in judged.where("at_limit").collect()}
     assert hit == {i for i, t, s, *_ in rows if t and (s == "utf8" and len(t.encode()) == 200 or s in ("chars", None) and len(t) == 300)}
     assert judged.count() == len(rows)
-    padded = [(i, ("Note: whole." + "\n" * 400)[:300] if i % 2 else "Note: " + "x" * 294, "pad", "", 0) for i in range(60)]
+    padded = [(i, (f"Note {i}: whole." + "\n" * 400)[:300] if i % 2 else f"Note: {i}" + "x" * (294 - len(str(i))), "pad", "", 0) for i in range(60)]
     assert {r.doc_id for r in truncation.truncated(truncation.features(spark.createDataFrame(padded, DOC))).where("truncated").collect()} == {i for i in range(60) if i % 2 == 0}
-    shares = {r.source: (r.n, r.n_cut) for r in truncation.by_source(judged).collect()}
-    assert shares["free"] == (752, 0) and shares[None][0] == 751
+    shares = {r.source: r for r in truncation.by_source(judged).collect()}
+    assert (shares["free"].n, shares["free"].n_cut) == (752, 0) and shares[None].n == 751 and shares["chars"].n_limit_only == shares["chars"].n_limit > 100
     assert truncation.truncated(truncation.features(spark.createDataFrame([], DOC))).count() == 0
+
+
+def test_what_only_the_limit_explains(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for i in range(900):
+        subject = "commit 1\n\n    " + " ".join(word() for _ in range(rng.randint(4, 40)))
+        items = subject[:60] + "\n\n" + "\n".join(f"    - {word()} {word()}" for _ in range(rng.randint(3, 30)))
+        text = subject if i % 2 else items
+        # Two limits of one source: an old one of 150 characters, a newer one of 240 for what came later.
+        rows.append((i, text[: 150 if i < 450 else 240] + ("" if len(text) > (150 if i < 450 else 240) else "\n"), "two", "", 0))
+    full = {i for i, t, *_ in rows if not t.endswith("\n")}
+    judged = truncation.truncated(truncation.features(spark.createDataFrame(rows, DOC)))
+    got = {r.doc_id: r for r in judged.collect()}
+    late = {i for i in full if i >= 450}
+    assert {i for i, r in got.items() if r.truncated} >= late and sum(not got[i].cut for i in late) > 100
+    # A peak with longer texts beyond it needs texts that break off by their endings.
+    cut = [(i, t if i >= 450 else ("Subject: a\n\nIt goes on and " + t.replace("\n", " "))[:149] if i in full else t, s, k, n) for i, t, s, k, n in rows]
+    limits = {(r.form, r["at"]) for r in truncation.limits(truncation.features(spark.createDataFrame(cut, DOC))).collect()}
+    assert limits == {("chars", 149), ("chars", 240)}
+
+
+def test_message_limits_and_notices_at_them(spark):
+    rng, rows = random.Random(5), []
+    for i in range(600):
+        message = "commit 1\n\n    " + "".join(rng.choice("abc de") for _ in range(rng.randint(10, 300)))
+        message = message[:120] + " {more below}" if len(message) > 120 else message
+        rows.append((i, message + "\n" * (len(message) < 120) + "\ndiff --git a/x b/x\n" + "index 1..2\nBinary files differ\n" * rng.randint(1, 9), "m", "", 0))
+    measured = truncation.features(spark.createDataFrame(rows, DOC)).cache()
+    assert {(r.part, r.form, r["at"]) for r in truncation.limits(measured).collect()} == {("message", "chars", 133)}
+    whole = [(i, t.split("\ndiff")[0], "w", "", 0) for i, t, *_ in rows] + [(5000, "commit 1\n\n    Short {more below}\n", "w", "", 0), (5001, "commit 1\n\n    Other {more}\n", "w", "", 0), (5002, "commit 1\n\n    Other {more below}\n", "v", "", 0)]
+    measured = truncation.features(spark.createDataFrame(whole, DOC)).cache()
+    judged = {r.doc_id: r for r in truncation.truncated(measured).collect()}
+    assert judged[5000].noticed and judged[5000].truncated and not judged[5001].truncated and not judged[5002].truncated
+
+
+def test_repeated_texts_make_no_limit(spark):
+    rows = [(i, "Subject: bump\n\nBump the version", "auto", "", 0) for i in range(200)] + [(1000 + i, "Subject: x\n\n" + "y" * (i % 9) + ".", "auto", "", 0) for i in range(30)]
+    assert truncation.limits(truncation.features(spark.createDataFrame(rows, DOC))).count() == 0
