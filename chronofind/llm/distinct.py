@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Hash values kept for a group; the relative standard error of an estimate is 1 / sqrt(K - 2), 3.2 %.
-#: Up to 1,000, Spark keeps only the first K of each group before it moves them.
+#: Hash values kept for a group, any number from 3 on; the relative standard error of an estimate is
+#: 1 / sqrt(K - 2), 3.2 %.
 K = 1_000
 #: Normal quantile of the stated bounds: 95 % of intervals hold the true number.
 Z = 1.96
 SPACE = float(1 << 60)
+#: Hashes that a task holds before it reduces them, and passes them on where that doesn't help.
+_HELD = 2_000_000
 
 
 def hashed(value: Column) -> Column:
@@ -18,27 +26,113 @@ def hashed(value: Column) -> Column:
     return F.conv(F.substring(F.md5(value.cast("string")), 1, 15), 16, 10).cast("bigint")
 
 
-def _smallest(rows: DataFrame, group: list[str], k: int) -> DataFrame:
-    """group, hashes ARRAY<BIGINT> ascending, from rows distinct in (group, __h)."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("__h"))
-    kept = rows.select(*group, "__h", rank.alias("__r")).where(F.col("__r") <= k)
-    return kept.groupBy(*group).agg(F.array_sort(F.collect_list("__h")).alias("hashes"))
+def _reduced(groups: pa.Table, codes: np.ndarray, hashes: np.ndarray, k: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The k smallest different hashes of each group, in order of group and hash. codes: rows of groups."""
+    order = np.lexsort((hashes, codes))
+    codes, hashes = codes[order], hashes[order]
+    fresh = np.ones(len(codes), bool)
+    fresh[1:] = (codes[1:] != codes[:-1]) | (hashes[1:] != hashes[:-1])
+    codes, hashes = codes[fresh], hashes[fresh]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    rank = np.arange(len(codes)) - np.repeat(first, np.diff(np.r_[first, len(codes)]))
+    kept = rank < k
+    return groups, codes[kept], hashes[kept]
+
+
+def _numbered(groups: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """(distinct rows, the number among them of each row)."""
+    at = groups.append_column("__at", pa.array(np.arange(len(groups))))
+    # A first row stands for its group; joins would lose groups with nulls.
+    seen = at.group_by(groups.column_names, use_threads=False).aggregate([("__at", "list")])
+    lists = seen.column("__at_list").combine_chunks()
+    codes = np.empty(len(groups), np.int64)
+    codes[lists.flatten().to_numpy()] = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    return seen.select(groups.column_names), codes
+
+
+def _sketcher(group: list[str], k: int, schema: pa.Schema, ordered: bool):
+    """mapInArrow function over group columns and hashes (one a row, or lists): partial sketches, or with rows
+    in order of their groups the whole ones."""
+
+    def emit(groups: pa.Table, codes: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+        ends = np.r_[first, len(codes)]
+        for i in range(0, len(first), 2_000):
+            part = ends[i : i + 2_001]
+            lists = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(hashes[part[0] : part[-1]]))
+            columns = [groups.column(n).take(pa.array(codes[part[:-1]])).combine_chunks() for n in group]
+            yield pa.RecordBatch.from_arrays([*columns, lists.cast(schema.field("hashes").type)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.Table, np.ndarray]] = []
+        size = 0
+
+        def reduce() -> tuple[pa.Table, np.ndarray, np.ndarray]:
+            rows = pa.concat_tables([t for t, _ in held])
+            hashes = np.concatenate([h for _, h in held])
+            groups, codes = _numbered(rows)
+            return _reduced(groups, codes, hashes, k)
+
+        for batch in batches:
+            column = batch.column("hashes")
+            if pa.types.is_list(column.type):
+                lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                hashes, rows = column.flatten().to_numpy(), np.repeat(np.arange(len(column)), lengths)
+            else:
+                valid = column.is_valid()
+                hashes, rows = column.drop_null().to_numpy(), np.flatnonzero(valid.to_numpy(zero_copy_only=False))
+            table = pa.table({n: batch.column(n) for n in group} | ({} if group else {"__all": pa.nulls(batch.num_rows, pa.int8())}))
+            held.append((table.take(pa.array(rows)), hashes))
+            size += len(hashes)
+            if size > _HELD:
+                groups, codes, hashes = reduce()
+                if ordered:
+                    # Only the group that was read last may go on.
+                    final = table.slice(len(table) - 1, 1)
+                    last = int(_numbered(pa.concat_tables([groups, final]))[1][-1])
+                    going = codes == last
+                    yield from emit(groups, codes[~going], hashes[~going])
+                    codes, hashes = codes[going], hashes[going]
+                held = [(groups.take(pa.array(codes)), hashes)]
+                size = len(hashes)
+                if size > _HELD // 2 and not ordered:
+                    yield from emit(groups, codes, hashes)
+                    held, size = [], 0
+        if held:
+            yield from emit(*reduce())
+
+    return run
+
+
+def _sketches(rows: DataFrame, group: list[str], hashes: Column, k: int) -> DataFrame:
+    """rows: group columns and what gives hashes, one or a list. Reduced within each task first, so that at most k hashes of a group and
+    task move, as one list; then merged by group, in order, so that a task holds no group whole but its k."""
+    fields = [rows.schema[g] for g in group]
+    # Columns may have any names, so they go by number.
+    inner = [f"g{i}" for i in range(len(group))]
+    schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(inner, fields, strict=True)), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    arrow = to_arrow_schema(schema)
+    numbered = rows.select(*[F.col(f"`{g}`").alias(n) for g, n in zip(group, inner, strict=True)], hashes.alias("hashes"))
+    partial = numbered.mapInArrow(_sketcher(inner, k, arrow, False), schema)
+    moved = partial.repartition(*inner).sortWithinPartitions(*inner) if inner else partial.repartition(1)
+    whole = moved.mapInArrow(_sketcher(inner, k, arrow, True), schema)
+    return whole.select(*[F.col(n).alias(g) for g, n in zip(group, inner, strict=True)], "hashes")
 
 
 def sketch(rows: DataFrame, group: list[str], value: Column, k: int = K) -> DataFrame:
-    """One sketch for each group: group, hashes.
+    """One sketch for each group: group, hashes in ascending order.
 
-    Values are reduced to distinct hashes first (map-side, then by group and hash, so a group or value
-    with most of the rows is spread), and each task passes on at most k hashes of a group. Null values
-    aren't counted; groups with nothing but nulls have no sketch; null group columns form groups.
+    Each task keeps its own k smallest hashes of a group before anything moves, so a group or value with most
+    of the rows costs no more than others. Null values aren't counted; groups with nothing but nulls have no
+    sketch; null group columns form groups.
     """
-    return _smallest(rows.select(*group, hashed(value).alias("__h")).where(F.col("__h").isNotNull()).distinct(), group, k)
+    return _sketches(rows, group, hashed(value), k)
 
 
 def merge(sketches: DataFrame, group: list[str], k: int = K) -> DataFrame:
     """Sketches of coarser groups from finer ones, or of a group from partial results: the k smallest of
     all hashes. Merging what was sketched apart gives what one sketch of all rows would."""
-    return _smallest(sketches.select(*group, F.explode("hashes").alias("__h")).distinct(), group, k)
+    return _sketches(sketches, group, F.col("hashes"), k)
 
 
 def count_of(hashes: Column, k: int = K) -> Column:
@@ -59,23 +153,35 @@ def with_estimates(sketches: DataFrame, k: int = K) -> DataFrame:
     })
 
 
+def share_bounds(count: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
+    """Wilson's bounds of a share of which count of n were seen; neither is exact where count is 0 or n."""
+    p, z2 = count / n, F.lit(z * z)
+    middle = (p + z2 / (n * F.lit(2.0))) / (F.lit(1.0) + z2 / n)
+    spread = F.lit(z) * F.sqrt(p * (F.lit(1.0) - p) / n + z2 / (n * n * F.lit(4.0))) / (F.lit(1.0) + z2 / n)
+    return F.greatest(F.lit(0.0), middle - spread), F.least(F.lit(1.0), middle + spread)
+
+
 def combined(pairs: DataFrame, a: Column, b: Column, k: int = K) -> DataFrame:
     """Adds estimates of the union, intersection and both differences of two sketched sets, with bounds.
 
     The k smallest hashes of both are a uniform sample of the union; the shares of those in a, in b and in
-    both give the rest. Bounds add the variance of the union's estimate to that of the share.
+    both give the rest. Bounds are those of the union times Wilson's bounds of the share, so a part of which
+    the sample shows nothing still has an upper bound above 0. Counts below k of both sets are exact.
     """
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
     rows = pairs.withColumns({"_a": a, "_b": b, "_u": union})
     both = F.size(F.array_intersect(F.array_intersect("_u", "_a"), F.col("_b")))
     rows = rows.withColumns({
-        "_n": F.size("_u"), "_total": count_of(F.col("_u"), k), "_both": both,
+        "_n": F.size("_u").cast("double"), "_total": count_of(F.col("_u"), k), "_both": both,
         "_only_a": F.size(F.array_except("_u", F.col("_b"))), "_only_b": F.size(F.array_except("_u", F.col("_a"))),
         "_exact": (F.size("_a") < k) & (F.size("_b") < k) & (F.size("_u") < k)})
+    error = Z / (k - 2) ** 0.5
     out: dict[str, Column] = {}
     for name, count in (("union", F.col("_n")), ("intersection", F.col("_both")), ("only_a", F.col("_only_a")), ("only_b", F.col("_only_b"))):
         p = F.when(F.col("_n") > 0, count / F.col("_n")).otherwise(F.lit(0.0))
-        spread = F.when(F.col("_exact"), F.lit(0.0)).otherwise(F.col("_total") * Z * F.sqrt(p * p / F.lit(float(k - 2)) + p * (F.lit(1.0) - p) / F.col("_n")))
-        out |= {f"n_{name}": F.round(p * F.col("_total")).cast("bigint"), f"{name}_lower": F.round(F.greatest(F.lit(0.0), p * F.col("_total") - spread)).cast("bigint"),
-                f"{name}_upper": F.round(p * F.col("_total") + spread).cast("bigint")}
+        low, high = (F.lit(1.0), F.lit(1.0)) if name == "union" else share_bounds(count.cast("double"), F.col("_n"))
+        exact = F.col("_exact") | (F.col("_n") == 0)
+        lower = F.when(exact, p * F.col("_total")).otherwise(low * (F.col("_total") / F.lit(1 + error)))
+        upper = F.when(exact, p * F.col("_total")).otherwise(high * (F.col("_total") / F.lit(1 - error)))
+        out |= {f"n_{name}": F.round(p * F.col("_total")).cast("bigint"), f"{name}_lower": F.round(lower).cast("bigint"), f"{name}_upper": F.round(upper).cast("bigint")}
     return rows.withColumns(out).drop("_a", "_b", "_u", "_n", "_total", "_both", "_only_a", "_only_b", "_exact")
