@@ -14,6 +14,7 @@ from itertools import chain
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 import regex
 
 # Fixed values of byte-level BPE: the pattern that splits text before the merges, and the printable
@@ -21,8 +22,8 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-#: Pieces remembered by a worker.
-CACHE = 1 << 18
+#: Pieces remembered by a worker, and the characters of the longest of them.
+CACHE, REMEMBERED = 1 << 18, 64
 
 
 def _byte_of() -> dict[str, int]:
@@ -62,7 +63,7 @@ class Encoder:
         self._shorter: dict[int, int] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
         self.split = regex.compile(PATTERN).findall
-        self.encode_piece = lru_cache(CACHE)(self._encode_piece)
+        self._known_piece = lru_cache(CACHE)(self._encode_piece)
         size = max(self.bytes_of) + 1
         lengths = np.zeros(size + 1, np.int64)
         for token, content in self.bytes_of.items():
@@ -73,9 +74,10 @@ class Encoder:
     def shorter(self, token: int) -> int:
         """The longest token that is a proper prefix of this one, -1 if there is none."""
         if (found := self._shorter.get(token)) is None:
-            content = self.bytes_of[token]
-            found = next((t for n in range(len(content) - 1, 0, -1) if (t := self.id_of.get(content[:n])) is not None), -1)
-            self._shorter[token] = found
+            text = self.bytes_of[token].decode("latin-1")
+            # Matches come in order of their ends; those as long as what was read begin where the token does.
+            prefixes = [t for end, (size, t) in self.automaton.iter(text) if size == end + 1 < len(text)]
+            found = self._shorter[token] = prefixes[-1] if prefixes else -1
         return found
 
     def fits(self, left: int, right: int) -> bool:
@@ -108,8 +110,8 @@ class Encoder:
 
     def _encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8", "surrogatepass")
-        whole = self.id_of.get(data)
-        if len(data) == 1:
+        if (whole := self.id_of.get(data)) is not None:
+            # The longest match at the first byte, with nothing before it to disagree.
             return (whole,)
         n = len(data)
         longest = [0] * n
@@ -137,12 +139,29 @@ class Encoder:
                     at -= len(size_of[token])
         return tuple(out)
 
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
+        return self._known_piece(piece) if len(piece) <= REMEMBERED else self._encode_piece(piece)
+
     def encode(self, text: str | None) -> list[int]:
         """Ids without special tokens, whose names are ordinary text. Null and empty texts give none."""
         if not text:
             return []
         return list(chain.from_iterable(map(self.encode_piece, self.split(text))))
 
+    def encode_all(self, texts: list[str | None]) -> pa.ListArray:
+        """encode for each text. Every different piece is encoded once, and ids are gathered by the pieces' places."""
+        pieces = [self.split(t) if t else [] for t in texts]
+        coded = pa.array(list(chain.from_iterable(pieces)), pa.string()).dictionary_encode()
+        encoded = list(map(self.encode_piece, coded.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        ids = np.fromiter(chain.from_iterable(encoded), np.int32, int(sizes.sum()))
+        codes = coded.indices.to_numpy()
+        each = sizes[codes]
+        ends = np.r_[0, np.cumsum(each)]
+        at = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], each)
+        last = np.cumsum(np.r_[0, np.fromiter(map(len, pieces), np.int64, len(pieces))])
+        return pa.ListArray.from_arrays(pa.array(ends[last].astype(np.int32)), pa.array(ids[at]))
+
     def decode_bytes(self, ids: list[int] | np.ndarray) -> bytes:
         """The bytes of the ids, gathered through the offset table."""
         ids = np.asarray(ids, np.int64)

@@ -33,12 +33,11 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = encoder(path).encode
+        encode_all = encoder(path).encode_all
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for start, end in _blocks(texts):
-                ids = pa.array([encode_text(t) for t in texts[start:end]], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, end - start), ids], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, end - start), encode_all(texts[start:end])], names=["doc_id", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 

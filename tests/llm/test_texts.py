@@ -45,6 +45,10 @@ def test_encoder_equals_the_public_library(reference_encode):
         ids = e.encode(text)
         assert ids == reference_encode(text), text
         assert e.decode(ids) == text
+    assert e.encode_all([*texts, None]).to_pylist() == [*map(reference_encode, texts), []]
+    assert e.encode_all([]).to_pylist() == [] and e.encode_all([None, ""]).to_pylist() == [[], []]
+    for token, content in list(e.bytes_of.items())[::97]:
+        assert e.shorter(token) == next((t for n in range(len(content) - 1, 0, -1) if (t := e.id_of.get(content[:n])) is not None), -1)
 
 
 @needs_vocabulary
