@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,17 +27,26 @@ MARKED = 0.5
 _MARK = re.compile(r"[\[(<{][^\[\](){}<>\n]{2,40}[\])>}]\s*\Z")
 
 
-def lengths_of(text: Column) -> dict[str, Column]:
-    """The text's length in each of FORMS: as it is, in bytes, with entities, as a JSON string, with CRLF."""
-    chars, size = F.length(text), F.octet_length(text)
-    without = lambda characters: chars - F.length(F.translate(text, characters, ""))
+def _counts(part: str) -> dict[str, Column]:
+    """What the forms are made of. Rare characters are counted only in texts that hold any."""
+    text, chars, size, strange = (F.col(f"__{part}{n}") for n in ("", "_chars", "_size", "_strange"))
+    without = lambda c: chars - F.length(F.replace(text, F.lit(c), F.lit("")))
     matching = lambda pattern: chars - F.length(F.regexp_replace(text, pattern, ""))
-    astral, wide = matching(r"[\x{10000}-\x{10FFFF}]"), matching(r"[^\x00-\x7E]")
-    entities = 4 * without("&") + 3 * without("<>")
-    escaped = without('"\\\n\r\t\b\f') + 5 * matching(r"[\x00-\x07\x0B\x0E-\x1F]")
-    alone = without("\n") - (chars - F.length(F.replace(text, F.lit("\r\n"), F.lit("")))) / 2
-    found = {"chars": chars, "utf8": size, "utf16": chars + astral, "entities": chars + entities, "entities_utf8": size + entities, "json": chars + escaped,
-             "json_ascii": chars + escaped + 5 * wide + 6 * astral, "json_utf8": size + escaped, "crlf": chars + alone, "crlf_utf8": size + alone}
+    none = chars * 0
+    foreign = lambda pattern: F.when(size > chars, matching(pattern)).otherwise(none)
+    control, short = r"[\x00-\x07\x0B\x0E-\x1F]", r"[\x08\x0C]"
+    rare = lambda pattern: F.when(strange, matching(pattern)).otherwise(none)
+    return {"chars": chars, "size": size, "amp": without("&"), "angle": without("<") + without(">"), "lf": without("\n"), "cr": without("\r"), "crlf": without("\r\n"),
+            "pair": without('"') + without("\\") + without("\t") + rare(short), "control": rare(control), "astral": foreign(r"[\x{10000}-\x{10FFFF}]"),
+            "wide": foreign(r"[^\x00-\x7F]") + rare(r"\x7F")}
+
+
+def _forms(n: Callable[[str], Column]) -> dict[str, Column]:
+    """The length in each of FORMS: as it is, in bytes, with entities, as a JSON string, with CRLF."""
+    entities, escaped, alone = 4 * n("amp") + 3 * n("angle"), n("pair") + n("lf") + n("cr") + 5 * n("control"), n("lf") - n("crlf") / 2
+    found = {"chars": n("chars"), "utf8": n("size"), "utf16": n("chars") + n("astral"), "entities": n("chars") + entities, "entities_utf8": n("size") + entities,
+             "json": n("chars") + escaped, "json_ascii": n("chars") + escaped + 5 * n("wide") + 6 * n("astral"), "json_utf8": n("size") + escaped,
+             "crlf": n("chars") + alone, "crlf_utf8": n("size") + alone}
     return {form: found[form].cast("bigint") for form in FORMS}
 
 
@@ -58,11 +67,15 @@ def features(documents: DataFrame) -> DataFrame:
     """doc_id, source, hash, LENGTHS, cut (by its ending), ended (by a line end), mark (a bracketed run at the
     very end). Lengths are measured in the JVM, endings text by text; those of null and blank texts are null,
     and such texts are never cut. A text without a diff is all text and has no message length."""
-    blank = F.coalesce(F.trim(F.regexp_replace("text", r"\s+", " ")) == "", F.lit(True))
-    text = F.when(~blank, F.col("text"))
-    message = F.when(F.instr(text, DIFF) > 0, F.substring_index(text, DIFF, 1))
-    measured = {f"{part}_{form}": length for part, column in (("text", text), ("message", message)) for form, length in lengths_of(column).items()}
-    rows = documents.select("doc_id", "source", "text", F.xxhash64("text").alias("hash"), *[c.alias(n) for n, c in measured.items()])
+    # One step at a time, so that nothing is worked out twice.
+    rows = documents.select("doc_id", "source", "text", F.xxhash64("text").alias("hash"), F.when(F.col("text").rlike(r"\S"), F.col("text")).alias("__text"))
+    rows = rows.withColumn("__message", F.when(F.instr("__text", DIFF) > 0, F.substring_index("__text", DIFF, 1)))
+    kept = ["doc_id", "source", "text", "hash"]
+    for part in PARTS:
+        text = F.col(f"__{part}")
+        rows = rows.withColumns({f"__{part}_chars": F.length(text), f"__{part}_size": F.octet_length(text), f"__{part}_strange": text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")})
+    rows = rows.select(*kept, *[c.alias(f"__{part}_{n}") for part in PARTS for n, c in _counts(part).items()])
+    rows = rows.select(*kept, *[c.alias(f"{part}_{form}") for part in PARTS for form, c in _forms(lambda n, p=part: F.col(f"__{p}_{n}")).items()])
     schema = "doc_id bigint, source string, hash bigint, " + ", ".join(f"{n} bigint" for n in LENGTHS) + ", cut boolean, ended boolean, mark string"
     return rows.mapInArrow(_endings, schema)
 
