@@ -9,6 +9,7 @@ shards of the keys that were split. The plan changes where rows are processed, n
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -94,15 +95,20 @@ def item_key() -> Column:
 def sharded(make: Callable[[pa.RecordBatch], Iterator[tuple[str, pa.Array, np.ndarray]]], plan: BalancePlan) -> Callable[[pa.RecordBatch], Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]]:
     """make with the shard of each entry: rows that hold a split item are dealt out to its shards in turn, by
     their place in the task; other items have the one shard 0."""
-    split = {k: len(t) for k, t in plan.placed.items() if len(t) > 1}
+    split: dict[str, dict[str, int]] = defaultdict(dict)
+    for key, tasks in plan.placed.items():
+        if len(tasks) > 1:
+            field, term = key.split("\x01", 1)
+            split[field][term] = len(tasks)
+    known = {field: (pa.array(list(terms), pa.string()), np.array([*terms.values(), 1], np.int64)) for field, terms in split.items()}
+    nothing = pa.array([], pa.string()), np.array([1], np.int64)
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
         for field, terms, rows in make(batch):
-            own = [k for k in split if k.startswith(f"{field}\x01")]
-            values = pa.array([k[len(field) + 1 :] for k in own], pa.string())
-            at = pc.fill_null(pc.index_in(terms, value_set=values), -1).to_numpy(zero_copy_only=False)
-            count = np.array([*(split[k] for k in own), 1], np.int64)[at]
-            yield field, terms, rows, rows % count
+            names, shards = known.get(field, nothing)
+            # Terms that aren't split are at -1, where the number of shards is 1.
+            at = pc.fill_null(pc.index_in(terms, value_set=names), -1).to_numpy(zero_copy_only=False)
+            yield field, terms, rows, rows % shards[at]
 
     return run
 

@@ -3,7 +3,7 @@
     <root>/data/version=<v>/shard=<s>/segment=<t>/*.parquet   rows of one write
     <root>/keys/version=<v>/*.parquet                          (shard, segment, tag_key) of these rows
     <root>/manifest/<v>/*.parquet                              what write v changed: (shard, segment, version, ...)
-    <root>/manifest/<v>.all/*.parquet                          the latest row of every segment as of v
+    <root>/manifest/<v>.all/*.parquet                          all earlier rows that still count, as of v
 
 Data becomes visible when its manifest folder is complete, so readers never meet a partial write, and a
 segment can be rewritten while it is being read. The latest version of a segment counts. A scan opens
@@ -33,6 +33,8 @@ _LOG = T.StructType([T.StructField("version", T.LongType()), T.StructField("data
 _DATA = T.StructType([T.StructField("version", T.LongType()), *SERIES.fields, T.StructField("metric_key", T.StringType())])
 _KEYS = T.StructType([T.StructField("version", T.LongType()), *SERIES.fields[:2], T.StructField("tag_key", T.StringType())])
 _ALL = ".all"
+#: Commits that a reader goes through before they are summarised.
+MOST_COMMITS = 50
 
 
 class SegmentStore:
@@ -120,6 +122,11 @@ class SegmentStore:
         rows = rows.withColumns({"version": F.lit(version), "n_series": F.coalesce("n_series", F.lit(0).cast("bigint"))})
         rows = rows.withColumn("data_version", F.when(F.col("n_series") > 0, F.lit(version)))
         rows.select(*_LOG.names).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/{version:020d}")
+        if len(self._commits()) > MOST_COMMITS:
+            self._summarise(self._log())
+
+    def _summarise(self, log: DataFrame) -> None:
+        log.select(*_LOG.names).coalesce(1).write.parquet(f"{self.root}/manifest/{time.time_ns():020d}{_ALL}")
 
     def merge_batch(self, batch: DataFrame, batch_epoch_end: DataFrame, version: int | None = None) -> int:
         """Merge new segment rows into the stored ones; only the touched segments are read and rewritten.
@@ -127,8 +134,8 @@ class SegmentStore:
         batch_epoch_end: shard, segment, duration of the touched segments after the merge. The stored
         metric and tags of a series win over the new ones.
         """
-        touched = {(r.shard, r.segment) for r in batch_epoch_end.select(*SEGMENT).collect()}
-        stored = self._series([r for r in self.live() if (r.shard, r.segment) in touched]).select(*SERIES.names)
+        touched = batch_epoch_end.select(*SEGMENT)
+        stored = self._series(self.manifest().where("committed").join(touched, SEGMENT, "left_semi").collect()).select(*SERIES.names)
         # compact() lets the earliest segment win, so new rows are ranked behind stored ones.
         both = stored.withColumn("rank", F.lit(0)).unionByName(batch.select(*SERIES.names).withColumn("rank", F.lit(1)))
         merged = both.groupBy("shard", "segment", "series_id").agg(
@@ -141,7 +148,7 @@ class SegmentStore:
     def compact_segments(self, shard: int, segments: list[int]) -> int:
         """Merge the named segments under the first; the others become invisible."""
         first, chosen = min(segments), (F.col("shard") == shard) & F.col("segment").isin(segments)
-        rows = self._series([r for r in self.live() if r.shard == shard and r.segment in set(segments)]).select(*SERIES.names)
+        rows = self._series(self.manifest().where(F.col("committed") & chosen).collect()).select(*SERIES.names)
         total = self.manifest().where(chosen).agg(F.coalesce(F.sum(F.coalesce("duration", F.lit(0))), F.lit(0)).cast("int").alias("d")).first()["d"]
         manifest = self.spark.createDataFrame(
             [(shard, s, total if s == first else 0, s == first, ",".join(map(str, sorted(segments))) if s == first else None) for s in segments], MANIFEST)
@@ -192,9 +199,8 @@ class SegmentStore:
         dead = log.where("not kept and data_version is not null").select(*leaf).distinct().join(log.where("kept").select(*leaf), leaf, "left_anti").collect()
         doomed = [f"data/version={r.data_version}/shard={r.shard}/segment={r.segment}" for r in dead if r.data_version in used]
         doomed += [f"{what}/{n}" for what in ("data", "keys") for n in self._folders(what) if (v := int(n.removeprefix("version="))) not in used and v <= cutoff]
-        doomed += [f"manifest/{n}" for n in self._commits() if int(n.removesuffix(_ALL)) <= cutoff]
-        rows = log.where(F.col("next").isNull() | (F.col("next") > cutoff)).select(*_LOG.names)
-        rows.coalesce(1).write.parquet(f"{self.root}/manifest/{time.time_ns():020d}{_ALL}")
+        doomed += [f"manifest/{n}" for n in self._folders("manifest") if n.removesuffix(_ALL).isdigit() and int(n.removesuffix(_ALL)) <= cutoff]
+        self._summarise(log.where(F.col("next").isNull() | (F.col("next") > cutoff)))
         log.unpersist()
         for path in doomed:
             fs, hadoop = filesystem(self.spark, f"{self.root}/{path}")

@@ -31,3 +31,13 @@ def test_golden_counts(spark, sf, flagship, either, compat):
     canary = request(chain("OR", metric("click"), value("canary", "y")))
     assert matching_rows(c, request(FLAGSHIP)).select("shard", "series_id").distinct().count() == flagship
     assert matching_rows(c, canary, compat=False).count() == either and matching_rows(c, canary).count() == compat
+
+
+@pytest.mark.parametrize("missing", ["ahocorasick", "chronofind.llm"])
+def test_all_else_works_without_the_optional_part(missing):
+    import subprocess
+    import sys
+
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('p8') for n in e.queries()), 'flagship_timeseries' in e.oracle_sql())"
+    said = subprocess.run([sys.executable, "-W", "ignore", "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.abspath(entry.__file__))).stdout.split()
+    assert int(said[0]) > 60 and said[1:] == ["False", "True"]

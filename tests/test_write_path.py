@@ -195,6 +195,18 @@ def test_only_live_folders_are_opened_and_vacuum_deletes_the_others(spark, tmp_p
     assert files.list_folders() == sorted(files.list_folders())[-1:]
 
 
+def test_many_commits_are_summarised(spark, tmp_path, monkeypatch):
+    import chronofind.sources.store as module
+
+    monkeypatch.setattr(module, "MOST_COMMITS", 2)
+    store = SegmentStore(spark, f"file://{tmp_path}/s")
+    for day in range(4):
+        _days(spark, store, [day, 0], 1)
+    assert len(store._commits()) <= 2 and sorted((r.segment - S) // 86400 for r in store.live()) == [0, 1, 2, 3] and store.catalog().rows.count() == 4
+    store.vacuum(0)
+    assert len(store._folders("manifest")) == 1 and store.catalog().rows.count() == 4
+
+
 def test_a_large_metric_is_spread_over_tasks(spark, tmp_path):
     store = SegmentStore(spark, f"file://{tmp_path}/s")
     series = spark.range(20_000).select(F.lit(0).alias("shard"), F.lit(S).cast("bigint").alias("segment"), F.col("id").alias("series_id"), F.lit("one").alias("metric"),
